@@ -6,8 +6,8 @@ exactly this boundary between the two. Otherwise it tries shorter entries and fi
 dead are marked, so every (position, entry) is tried once and the work is linear in the pre-token's length. The
 result is what applying the merges in rank order gives.
 
-Pre-tokens repeat, so each worker process keeps a bounded table of those already encoded (emptied when full, which
-costs time only). Texts with characters outside a checked Latin range are split by the tokenizers library itself, so
+Pre-tokens repeat, so each worker process keeps a bounded table of those already encoded (full ones
+age out, which costs time only). Texts with characters outside a checked Latin range are split by the tokenizers library itself, so
 the split always is the library's; the encoding of the pieces always is the one here.
 """
 
@@ -25,8 +25,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries of the table of encoded pre-tokens that a worker process keeps.
-TABLE_ENTRIES = 250_000
+#: Entries of each of the two generations of a table of encoded pre-tokens in a worker process.
+TABLE_ENTRIES = 160_000
 _L = "a-zA-ZªµºÀ-ÖØ-öø-ɏ"
 _N = "0-9²³¹¼-¾"
 _S = "\t-\r \u0085 "
@@ -49,16 +49,20 @@ def _byte_letters() -> list[str]:
 
 
 class _Table(dict):
-    """Pre-token -> value, computed once and kept while there is room."""
+    """Key -> value, computed when missing. When full it becomes the older of two generations, from which what is still used returns."""
 
-    def __init__(self, make: Callable[[str], object], room: int = TABLE_ENTRIES):
+    def __init__(self, make: Callable, room: int = TABLE_ENTRIES):
         super().__init__()
-        self.make, self.room = make, room
+        self.make, self.room, self.older = make, room, {}
 
     def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.room:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
