@@ -23,5 +23,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), _vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_token_counts)}
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.simhash import simhash_groups
+
+    return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_token_counts)}
 ORACLES: dict[str, str] = {}
