@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +37,11 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
     for f in df.inputFiles()[:1]:
         path = spark._jvm.org.apache.hadoop.fs.Path(f.rsplit("/", 1)[0])
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def on_workers(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver has it (clusters: --py-files)."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH", ""), root]))

@@ -33,7 +33,6 @@ from strandlake.llm.components import connected_components
 SPLIT, LEVELS = 1024, 5
 #: Points up to which a shard or a tree's leaf compares all pairs.
 LEAF = 128
-_SIGN = np.uint64(0)
 
 
 def fingerprint(data: bytes, words_per_shingle: int = 4) -> int:
@@ -81,7 +80,7 @@ def _dealt(points: DataFrame, bits: int, radius: int) -> DataFrame:
     return points.select("fp", "node", F.explode(F.array(*ways)).alias("way")).select("way.shard", "way.rest", "fp", "node")
 
 
-class _Forest:
+class Forest:
     """Union-find over positions, with vectorised skipping of what is joined already."""
 
     def __init__(self, n: int):
@@ -103,7 +102,7 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def _compare(start: np.ndarray, stop: np.ndarray, fp: np.ndarray, radius: int, forest: _Forest) -> None:
+def _compare(start: np.ndarray, stop: np.ndarray, fp: np.ndarray, radius: int, forest: Forest) -> None:
     """All pairs within each run [start, stop) of positions, by their offset."""
     last = np.repeat(stop, stop - start)
     i = np.concatenate([np.arange(a, b) for a, b in zip(start, stop, strict=True)]) if len(start) else np.zeros(0, int)
@@ -116,7 +115,7 @@ def _compare(start: np.ndarray, stop: np.ndarray, fp: np.ndarray, radius: int, f
         d += 1
 
 
-def tree_join(fp: np.ndarray, at: np.ndarray, radius: int, forest: _Forest) -> None:
+def tree_join(fp: np.ndarray, at: np.ndarray, radius: int, forest: Forest) -> None:
     """Join what lies within ``radius`` among positions ``at``: vantage-point tree, balls of all points at once.
 
     Each step takes a node's members and the points whose balls reach it. The vantage point is the member that a hash
@@ -150,7 +149,7 @@ def _linked(radius: int):
         def solve(shard, fp, node):
             cuts = np.flatnonzero(np.diff(shard)) + 1
             start, stop = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(shard)]])
-            size, forest = stop - start, _Forest(len(shard))
+            size, forest = stop - start, Forest(len(shard))
             small = (size > 1) & (size <= LEAF)
             _compare(start[small], stop[small], fp, radius, forest)
             for k in np.flatnonzero(size > LEAF):
