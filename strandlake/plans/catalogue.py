@@ -1,4 +1,524 @@
-"""Queries and their DuckDB counterparts."""
+"""Every operator as a query over the derived fixtures, with DuckDB SQL beside it."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandlake.functions import dna
+from strandlake.operators import classify as C
+from strandlake.operators import database as D
+from strandlake.operators import post as P
+from strandlake.operators import report as R
+from strandlake.operators import tree as T
+from strandlake.plans.fixtures import K, M, Fixtures
+from strandlake.plans.oracles import MINIMIZER, oracle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, **extra: str):
+    def register(make: Callable[[Fixtures], DataFrame]):
+        QUERIES[make.__name__] = lambda spark, sf_dir: make(Fixtures(spark, sf_dir))
+        if sql:
+            ORACLES[make.__name__] = oracle(sql, **extra)
+        return make
+
+    return register
+
+
+def _hits(f: Fixtures) -> DataFrame:
+    return C.lookup(f.reads, f.kmer_table, K)
+
+
+def _calls(f: Fixtures, hits: DataFrame | None = None) -> DataFrame:
+    return C.vote(f.reads, C.hit_counts(_hits(f) if hits is None else hits), f.tree)
+
+
+def _classified(f: Fixtures) -> DataFrame:
+    return C.classify(f.reads, [f.kmer_table], f.tree, K)
+
+
+# -- k-mers ----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT read_id, pos, kmer FROM rk")
+def kmer_explode(f):
+    return dna.with_kmers(f.reads, K).select("read_id", "pos", "kmer")
+
+
+@query("SELECT read_id, count(*) AS windows, count(*) FILTER (ambig) AS ambiguous FROM rk GROUP BY 1")
+def kmer_ambiguous_flags(f):
+    return dna.with_kmers(f.reads, K).groupBy("read_id").agg(F.count("*").alias("windows"), F.sum(F.col("ambig").cast("bigint")).alias("ambiguous"))
+
+
+@query("SELECT read_id, pos, canon FROM rk WHERE NOT ambig")
+def kmer_canonical(f):
+    return dna.with_kmers(f.reads, K).where("not ambig").select("read_id", "pos", "canon")
+
+
+@query("SELECT read_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM reads")
+def kmer_revcomp(f):
+    return f.reads.select("read_id", dna.reverse_complement(F.col("seq")).alias("rc"))
+
+
+@query("SELECT DISTINCT canon AS kmer, (SELECT sum((strpos('ACGT', substr(canon, i, 1)) - 1) * (4::BIGINT) ** (15 - i)) FROM range(1, 16) t(i))::BIGINT AS code, canon AS back FROM rk WHERE NOT ambig")
+def kmer_encode_2bit(f):
+    codes = dna.with_kmers(f.reads, K).where("not ambig").select(F.col("canon").alias("kmer")).distinct()
+    return codes.withColumn("code", dna.encode(F.col("kmer"))).withColumn("back", dna.decode(F.col("code"), K))
+
+
+@query("SELECT count(*) AS windows, count(DISTINCT canon) AS distinct_canonical, count(DISTINCT kmer) AS distinct_kmers FROM rk WHERE NOT ambig")
+def kmer_distinct_count(f):
+    return dna.with_kmers(f.reads, K).where("not ambig").agg(F.count("*").alias("windows"), F.count_distinct("canon").alias("distinct_canonical"), F.count_distinct("kmer").alias("distinct_kmers"))
+
+
+@query("SELECT kmer, count(*) AS n FROM gk GROUP BY 1")
+def kmer_multiplicity(f):
+    return f.genome_kmers.groupBy("kmer").agg(F.count("*").alias("n"))
+
+
+@query()
+def kmer_distinct_hll(f):
+    return dna.with_kmers(f.reads, K).where("not ambig").agg(F.hll_sketch_estimate(F.hll_sketch_agg("kmer", F.lit(14))).alias("estimate"))
+
+
+@query()
+def kmer_distinct_registers(f):
+    from strandlake.operators.sketch import estimate, registers
+
+    return estimate(registers(dna.with_kmers(f.reads, K).where("not ambig").select(F.lit(0).alias("taxon"), dna.encode(F.col("canon")).alias("kmer")), 12), 12)
+
+
+@query("SELECT DISTINCT canon AS kmer FROM rk WHERE NOT ambig")
+def kmer_set(f):
+    return dna.with_kmers(f.reads, K).where("not ambig").select(F.col("canon").alias("kmer")).distinct()
+
+
+@query(f"SELECT kmer, {MINIMIZER} AS bin FROM db")
+def minimizer_bins(f):
+    return D.with_bins(f.kmer_table.select("kmer"), K, M)
+
+
+@query("SELECT bin, n, (sum(n) OVER (ORDER BY bin) - n)::BIGINT AS \"offset\" FROM (SELECT bin, count(*) AS n FROM binned GROUP BY 1)", binned=f"SELECT kmer, {MINIMIZER} AS bin FROM db")
+def bin_index_offsets(f):
+    return D.bin_index(f.kmer_table, K, M)
+
+
+@query("SELECT kmer, taxon, bin FROM binned", binned=f"SELECT kmer, taxon, {MINIMIZER} AS bin FROM db")
+def db_sorted(f):
+    return D.sorted_by_bin(f.kmer_table, K, M)
+
+
+@query("SELECT read_id, regexp_replace(seq, '[^AGCT]', 'N', 'g') AS seq FROM reads")
+def hard_mask(f):
+    return f.reads.select("read_id", dna.hard_mask(F.col("seq")).alias("seq"))
+
+
+@query()
+def dust_mask(f):
+    from strandlake.functions.dust import dust
+
+    return f.genomes.select("seq_id", dust(F.col("seq")).alias("seq"))
+
+
+@query("SELECT p_partkey, rtrim(regexp_replace(regexp_replace(p_name || ' #' || p_partkey::VARCHAR, '[^a-zA-Z0-9_]', '_', 'g'), '_+', '_', 'g')) AS file_name, replace(replace(replace(p_name || '|' || p_brand, '|', ''), '.', ''), ' ', '_') AS lineage_name FROM part")
+def name_sanitizers(f):
+    p = f.table("part")
+    return p.select("p_partkey", dna.file_name(F.concat("p_name", F.lit(" #"), F.col("p_partkey").cast("string"))).alias("file_name"), dna.lineage_name(F.concat_ws("|", "p_name", "p_brand")).alias("lineage_name"))
+
+
+@query("SELECT doc_id, count(*) AS windows, count(*) FILTER (NOT regexp_full_match(upper(w), '[ACGT]+')) AS ambiguous FROM (SELECT doc_id, substr(replace(replace(text, chr(10), ''), chr(13), ''), i, 4) AS w FROM (SELECT doc_id, text, unnest(range(1, length(replace(replace(text, chr(10), ''), chr(13), '')) - 2)) AS i FROM documents)) GROUP BY 1")
+def text_windows(f):
+    return dna.with_kmers(f.table("documents").select("doc_id", "text"), 4, "text", ("doc_id",)).groupBy("doc_id").agg(F.count("*").alias("windows"), F.sum(F.col("ambig").cast("bigint")).alias("ambiguous"))
+
+
+# -- taxonomy --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT taxid, ancestor, dist FROM closure")
+def taxonomy_closure(f):
+    return T.closure(f.tree)
+
+
+@query("SELECT c.taxid, string_agg(c.ancestor::VARCHAR, '/' ORDER BY c.dist DESC) AS path, max(c.dist) AS depth FROM closure c GROUP BY 1")
+def taxonomy_path_depth(f):
+    return f.tree.select("taxid", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), "depth")
+
+
+@query("SELECT taxid, parent FROM taxonomy")
+def taxonomy_parent_map(f):
+    return T.parent_map(f.taxonomy)
+
+
+_PAIRS = "SELECT a.taxid AS a, b.taxid AS b FROM taxonomy a JOIN taxonomy b ON b.taxid % 7 = a.taxid % 7 UNION ALL SELECT taxid, 0 FROM taxonomy UNION ALL SELECT 0, taxid FROM taxonomy"
+_LCA = "SELECT p.a, p.b, CASE WHEN p.a = 0 THEN p.b WHEN p.b = 0 THEN p.a ELSE l.lca END AS lca, CASE WHEN p.a = 0 OR p.b = 0 THEN -1 ELSE l.dist END AS dist FROM pairs p LEFT JOIN (SELECT x.taxid AS a, y.taxid AS b, arg_min(x.ancestor, x.dist) AS lca, min(x.dist + y.dist) AS dist FROM closure x JOIN closure y ON x.ancestor = y.ancestor GROUP BY 1, 2) l ON l.a = p.a AND l.b = p.b"
+
+
+def _pairs(f):
+    t = f.taxonomy.select("taxid")
+    a, b = t.select(F.col("taxid").alias("a")), t.select(F.col("taxid").alias("b"))
+    zero = F.lit(0).cast("bigint")
+    return a.join(b, F.col("a") % 7 == F.col("b") % 7).union(t.select("taxid", zero)).union(t.select(zero, "taxid"))
+
+
+@query(f"SELECT a, b, lca FROM ({_LCA})", pairs=_PAIRS)
+def lca_pairs(f):
+    return T.lca_pairs(_pairs(f), f.tree).select("a", "b", "lca")
+
+
+@query(f"SELECT a, b, dist FROM ({_LCA})", pairs=_PAIRS)
+def lca_distance(f):
+    return T.lca_pairs(_pairs(f), f.tree).select("a", "b", "dist")
+
+
+@query("SELECT t.taxid, coalesce(g.ancestor, 0) AS at_rank FROM taxonomy t LEFT JOIN (SELECT c.taxid, arg_min(c.ancestor, c.dist) AS ancestor FROM closure c JOIN taxonomy a ON a.taxid = c.ancestor AND a.rank = 'genus' GROUP BY 1) g ON g.taxid = t.taxid")
+def taxid_at_rank(f):
+    return T.at_rank(f.tree, "genus")
+
+
+@query("SELECT t.taxid, coalesce(g.ancestor, 1) AS next_taxid, coalesce(a.rank, 'root') AS next_rank FROM taxonomy t LEFT JOIN (SELECT c.taxid, arg_min(c.ancestor, c.dist) AS ancestor FROM closure c JOIN taxonomy a ON a.taxid = c.ancestor AND a.rank <> 'no rank' GROUP BY 1) g ON g.taxid = t.taxid LEFT JOIN taxonomy a ON a.taxid = g.ancestor")
+def next_proper_rank(f):
+    return T.next_proper_rank(f.tree)
+
+
+@query("SELECT t.taxid, coalesce(string_agg(a.name, '; ' ORDER BY c.dist DESC), '') AS lineage FROM taxonomy t LEFT JOIN closure c ON c.taxid = t.taxid AND c.ancestor <> 1 LEFT JOIN taxonomy a ON a.taxid = c.ancestor GROUP BY 1")
+def lineage(f):
+    return T.lineages(f.tree)
+
+
+_CODE = "CASE {0} WHEN 'phylum' THEN 'P' WHEN 'genus' THEN 'G' WHEN 'species' THEN 'S' ELSE '-' END"
+_NAME = "replace(replace(replace({0}, '|', ''), '.', ''), ' ', '_')"
+
+
+@query(f"SELECT t.taxid, coalesce('|' || string_agg(lower({_CODE.format('a.rank')}) || '__' || {_NAME.format('a.name')}, '|' ORDER BY c.dist DESC), '') AS lineage FROM taxonomy t LEFT JOIN closure c ON c.taxid = t.taxid AND c.ancestor <> 1 LEFT JOIN taxonomy a ON a.taxid = c.ancestor GROUP BY 1")
+def lineage_ranked(f):
+    return T.lineages(f.tree, "ranked")
+
+
+@query("SELECT taxid FROM closure WHERE ancestor = 11")
+def descendants(f):
+    return T.descendants(f.tree, [11])
+
+
+@query("SELECT taxid FROM closure c WHERE ancestor = 11 AND NOT EXISTS (SELECT 1 FROM closure x WHERE x.taxid = c.taxid AND x.ancestor % 5 = 2 AND x.ancestor BETWEEN 100 AND 199)")
+def descendants_pruned(f):
+    return T.descendants(f.tree, [11], f.taxonomy.where("taxid % 5 = 2 AND taxid BETWEEN 100 AND 199"))
+
+
+# -- database --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT kmer, taxon FROM db")
+def build_lca_table(f):
+    return f.kmer_table
+
+
+@query("SELECT d.kmer, coalesce(x.taxid, d.taxon) AS taxon FROM db d LEFT JOIN (SELECT kmer, arg_min(taxid, ord) AS taxid FROM gk WHERE taxid IN (1003, 1005) GROUP BY 1) x ON x.kmer = d.kmer")
+def build_lca_contaminant(f):
+    return D.build_lca_contaminant(f.genome_kmers, f.tree, (1003, 1005))
+
+
+@query(
+    """SELECT s.kmer, arg_max(s.ancestor, d.depth) AS taxon FROM (SELECT m.kmer, c.ancestor, count(*) AS k FROM firsts m JOIN closure c ON c.taxid = m.taxid GROUP BY 1, 2) s
+    JOIN (SELECT kmer, count(*) AS n FROM firsts GROUP BY 1) n ON n.kmer = s.kmer AND n.n = s.k JOIN depths d ON d.taxid = s.ancestor GROUP BY 1""",
+    firsts="SELECT DISTINCT g.kmer, g.taxid FROM gk g JOIN (SELECT kmer, min(tier) AS t FROM gk GROUP BY 1) m ON m.kmer = g.kmer AND m.t = g.tier",
+)
+def build_lca_tiers(f):
+    return D.build_lca_tiers(f.genome_kmers, f.tree)
+
+
+@query("SELECT kmer, string_agg(taxid::VARCHAR, ',' ORDER BY taxid) AS taxids FROM mem GROUP BY 1")
+def build_taxid_sets(f):
+    return D.build_sets(f.genome_kmers).select("kmer", F.array_join(F.col("taxids").cast("array<string>"), ",").alias("taxids"))
+
+
+@query("SELECT d.kmer, CASE WHEN r.kmer IS NULL THEN d.taxon ELSE 0 END AS taxon FROM db d LEFT JOIN (SELECT DISTINCT kmer FROM gk WHERE ord = 2) r ON r.kmer = d.kmer")
+def build_reset(f):
+    return D.reset_taxa(f.kmer_table, f.genome_kmers.where("ord = 2"))
+
+
+@query("SELECT DISTINCT r.canon AS kmer FROM rk r LEFT JOIN db ON db.kmer = r.canon WHERE NOT r.ambig AND db.kmer IS NULL")
+def db_missing_kmers(f):
+    return D.check_covered(f.kmer_table, dna.with_kmers(f.reads, K).where("not ambig").select(F.col("canon").alias("kmer")))
+
+
+@query("SELECT taxid AS taxon, n_kmers FROM sizes")
+def db_taxon_counts(f):
+    return D.taxon_sizes(f.kmer_table)
+
+
+@query("SELECT c.taxid, coalesce(s.n_kmers, 0) AS genome_size, c.kmers_db - coalesce(s.n_kmers, 0) AS size_of_children FROM csizes c LEFT JOIN sizes s ON s.taxid = c.taxid")
+def genome_sizes(f):
+    return D.clade_sizes(D.taxon_sizes(f.kmer_table), f.tree)
+
+
+@query("SELECT kmer, taxon FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY kmer DESC) AS r FROM (SELECT *, ntile(500) OVER (ORDER BY kmer) AS b FROM db)) WHERE r = 2")
+def db_shrink(f):
+    return D.shrink(f.kmer_table, 500, 2)
+
+
+@query("SELECT taxid, parent, name, rank FROM taxonomy UNION ALL SELECT 1000000000 + row_number() OVER (ORDER BY ord), taxid, 'strain ' || seq_id, 'sequence' FROM genomes")
+def pseudo_taxids(f):
+    return T.add_pseudo_taxids(f.taxonomy, f.genomes.select("seq_id", "taxid", F.concat(F.lit("strain "), "seq_id").alias("name"), "ord"))
+
+
+_IDS = "SELECT seq_id FROM genomes UNION ALL SELECT 'lib:taxid|' || taxid::VARCHAR || '|x' FROM genomes WHERE ord % 3 = 0 UNION ALL SELECT 'none' || ord::VARCHAR FROM genomes WHERE ord % 5 = 0"
+
+
+@query("SELECT i.seq_id, coalesce(a.taxid, b.taxid, TRY_CAST(nullif(regexp_extract(i.seq_id, '^\\w+:taxid\\|(\\d+)', 1), '') AS BIGINT)) AS taxid FROM ids i LEFT JOIN firsts a ON a.seq_id = i.seq_id LEFT JOIN firsts b ON b.seq_id = regexp_replace(i.seq_id, '\\.\\d*$', '')", ids=_IDS, firsts="SELECT seq_id, arg_min(taxid, line_no) AS taxid FROM seqmap GROUP BY 1")
+def seqid_resolve(f):
+    g = f.genomes
+    ids = g.select("seq_id").union(g.where("ord % 3 = 0").select(F.concat(F.lit("lib:taxid|"), F.col("taxid").cast("string"), F.lit("|x")))).union(g.where("ord % 5 = 0").select(F.concat(F.lit("none"), F.col("ord").cast("string"))))
+    return D.resolve_sequence_ids(ids, f.seqmap)
+
+
+@query("SELECT seq_id, arg_min(taxid, line_no) AS taxid, arg_min(name, line_no) AS name FROM seqmap GROUP BY 1")
+def seqmap_first_wins(f):
+    return D.first_mapping(f.seqmap)
+
+
+@query("SELECT read_id, true_taxid FROM reads WHERE length(seq) >= 20")
+def min_contig(f):
+    usable = D.usable_sequences(f.reads.withColumnRenamed("true_taxid", "taxid"), f.tree, 20)
+    return usable.select("read_id", F.col("taxid").alias("true_taxid"))
+
+
+@query("SELECT c_name AS accession, c_nationkey AS level, line_no FROM (SELECT 'A' || (c_custkey % 50)::VARCHAR AS c_name, c_nationkey, c_custkey AS line_no, row_number() OVER (PARTITION BY c_custkey % 50 ORDER BY c_custkey) AS r FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_nationkey < 20) WHERE r = 1")
+def assembly_filter(f):
+    rows = f.table("customer").where("c_nationkey < 20").select(F.concat(F.lit("A"), (F.col("c_custkey") % 50).cast("string")).alias("assembly_accession"), F.when(F.col("c_mktsegment") != "BUILDING", "latest").otherwise("replaced").alias("version_status"), F.col("c_nationkey").alias("level"), F.col("c_custkey").alias("line_no"))
+    return D.filter_assemblies(rows).select(F.col("assembly_accession").alias("accession"), "level", "line_no")
+
+
+@query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN (SELECT taxid FROM closure WHERE ancestor = 12) d ON d.taxid = 1000 + s_suppkey")
+def accession_subset(f):
+    wanted = T.descendants(f.tree, [12])
+    named = f.table("supplier").join(f.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return named.withColumn("taxid", F.col("s_suppkey") + 1000).join(wanted, "taxid", "left_semi").select("s_suppkey", "n_name")
+
+
+# -- classification --------------------------------------------------------------------------------------------
+
+
+@query("SELECT read_id, pos, taxon FROM hits")
+def classify_lookup(f):
+    return _hits(f).select("read_id", "pos", "taxon")
+
+
+@query("SELECT read_id, taxon, n FROM counts")
+def classify_hit_counts(f):
+    return C.hit_counts(_hits(f))
+
+
+@query("SELECT read_id, taxid, score FROM calls")
+def classify_calls(f):
+    return _calls(f)
+
+
+@query(
+    "SELECT r.read_id, coalesce(q.taxid, 0) AS taxid, coalesce(q.hits, 0) AS hits FROM reads r LEFT JOIN (SELECT read_id, least(max(c), 2)::BIGINT AS hits, max(CASE WHEN c = 2 AND taxon > 0 THEN taxon END) AS taxid FROM so_far GROUP BY 1) q ON q.read_id = r.read_id",
+    so_far="SELECT read_id, taxon, sum((taxon > 0)::INT) OVER (PARTITION BY read_id ORDER BY pos) AS c FROM hits",
+)
+def classify_quick(f):
+    return C.quick_calls(f.reads, _hits(f), 2)
+
+
+@query("SELECT r.read_id, r.pos, coalesce(a.taxon, b.taxon, 0) AS taxon FROM rk r LEFT JOIN (SELECT * FROM db WHERE taxon % 2 = 0) a ON a.kmer = r.canon AND NOT ambig LEFT JOIN (SELECT kmer, 1 AS taxon FROM db) b ON b.kmer = r.canon AND NOT ambig")
+def classify_multi_db(f):
+    t = f.kmer_table
+    merged = C.merge_databases([t.where("taxon % 2 = 0"), t.select("kmer", F.lit(1).cast("bigint").alias("taxon"))])
+    return C.lookup(f.reads, merged, K).select("read_id", "pos", "taxon")
+
+
+@query(
+    """SELECT r.read_id, coalesce(x.taxid, 0) AS taxid FROM reads r LEFT JOIN (SELECT s.read_id, arg_max(s.ancestor, d.depth) AS taxid FROM (SELECT t.read_id, c.ancestor, count(*) AS k FROM settied t JOIN closure c ON c.taxid = t.taxid GROUP BY 1, 2) s
+    JOIN (SELECT read_id, count(*) AS n FROM settied GROUP BY 1) n ON n.read_id = s.read_id AND n.n = s.k JOIN depths d ON d.taxid = s.ancestor GROUP BY 1) x ON x.read_id = r.read_id""",
+    setvotes="SELECT r.read_id, m.taxid, count(*) AS n, round(sum(1.0::DOUBLE / z.c), 6) AS w FROM rk r JOIN mem m ON m.kmer = r.canon AND NOT r.ambig JOIN (SELECT kmer, count(*) AS c FROM mem GROUP BY 1) z ON z.kmer = m.kmer GROUP BY 1, 2",
+    settied="SELECT read_id, taxid FROM (SELECT *, rank() OVER (PARTITION BY read_id ORDER BY n DESC, w DESC) AS k FROM setvotes) WHERE k = 1",
+)
+def classify_taxid_sets(f):
+    return C.set_votes(f.reads, D.build_sets(f.genome_kmers), f.tree, K)
+
+
+@query("SELECT read_id, hitlist FROM lists")
+def classify_hitlist(f):
+    return C.hitlists(f.reads, _hits(f))
+
+
+@query("SELECT CASE WHEN c.taxid <> 0 THEN 'C' ELSE 'U' END AS status, r.read_id, c.taxid, length(r.seq) AS length, l.hitlist FROM reads r JOIN calls c ON c.read_id = r.read_id JOIN lists l ON l.read_id = r.read_id")
+def classify_rows(f):
+    return _classified(f)
+
+
+@query("SELECT read_id, run AS start, code, n FROM runs")
+def hitlist_decode(f):
+    each = C.decode_hitlist(C.hitlists(f.reads, _hits(f))).where("n > 0")
+    start = F.sum("n").over(Window.partitionBy("read_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    return each.select("read_id", start.alias("start"), "code", "n")
+
+
+@query("SELECT read_id, pos, taxon FROM hits")
+def classify_chunked(f):
+    table = f.kmer_table.persist()
+    bounds = [(r.lo, r.hi) for r in D.chunk_bounds(D.bin_index(table, K, M), 4).collect()]  # four rows
+    return C.lookup_in_chunks(f.reads, table, bounds, K, M).select("read_id", "pos", "taxon")
+
+
+@query("SELECT r.read_id, r.seq FROM reads r JOIN calls c ON c.read_id = r.read_id WHERE c.taxid <> 0")
+def classified_reads(f):
+    return f.reads.join(_calls(f).where("taxid <> 0"), "read_id", "left_semi").select("read_id", "seq")
+
+
+@query("SELECT r.read_id, r.seq FROM reads r JOIN calls c ON c.read_id = r.read_id WHERE c.taxid = 0")
+def unclassified_reads(f):
+    return f.reads.join(_calls(f).where("taxid = 0"), "read_id", "left_semi").select("read_id", "seq")
+
+
+@query("SELECT r.read_id, r.seq FROM reads r JOIN calls c ON c.read_id = r.read_id JOIN closure x ON x.taxid = c.taxid AND x.ancestor = 11")
+def extract_clade(f):
+    return P.extract_reads(f.reads.select("read_id", "seq"), _calls(f), f.tree, [11])
+
+
+@query("SELECT r.read_id, r.seq FROM reads r JOIN calls c ON c.read_id = r.read_id WHERE c.taxid NOT IN (SELECT taxid FROM closure WHERE ancestor = 11)")
+def extract_invert(f):
+    return P.extract_reads(f.reads.select("read_id", "seq"), _calls(f), f.tree, [11], invert=True)
+
+
+@query("SELECT a.k AS rec_no, 'read' || a.k::VARCHAR AS read_id, CASE WHEN a.k % 9 = 0 THEN a.s ELSE a.s || 'N' || b.s END AS seq FROM (SELECT k, left(w, 20) AS s FROM windows) a JOIN (SELECT k, right(w, 20) AS s FROM windows) b ON a.k = b.k")
+def paired_merge(f):
+    w = f.windows
+    a = w.select(F.col("k").alias("rec_no"), F.concat(F.lit("read"), F.col("k").cast("string"), F.lit("/1 lane1")).alias("read_id"), F.left("w", F.lit(20)).alias("seq"))
+    b = w.where("k % 9 <> 0").select(F.col("k").alias("rec_no"), F.concat(F.lit("read"), F.col("k").cast("string"), F.lit("_2")).alias("read_id"), F.right("w", F.lit(20)).alias("seq"))
+    return C.merge_pairs(a, b, check_names=True)
+
+
+@query("SELECT count(*) AS sequences, sum(length(r.seq))::BIGINT AS bases, count(*) FILTER (c.taxid <> 0) AS classified, count(*) FILTER (c.taxid = 0) AS unclassified, 100.0::DOUBLE * count(*) FILTER (c.taxid <> 0) / count(*) AS classified_pct FROM reads r JOIN calls c ON c.read_id = r.read_id")
+def run_stats(f):
+    return C.run_stats(f.reads, _calls(f))
+
+
+# -- counts and reports ----------------------------------------------------------------------------------------
+
+
+@query("SELECT taxid, n_reads, n_kmers, n_unique FROM tc")
+def taxon_counts(f):
+    hits = _hits(f).persist()
+    return R.taxon_counts(_calls(f, hits), hits)
+
+
+@query("SELECT taxid, n_reads, n_kmers, n_unique FROM clade")
+def clade_counts(f):
+    hits = _hits(f).persist()
+    return R.clade_counts(R.taxon_counts(_calls(f, hits), hits), f.tree)
+
+
+@query("SELECT u.up AS taxid, count(DISTINCT canon) AS n_unique FROM hits h JOIN (SELECT taxid, ancestor AS up FROM closure UNION ALL SELECT 0, 0) u ON u.taxid = h.taxon WHERE NOT ambig GROUP BY 1")
+def clade_unique_exact(f):
+    return R.clade_unique_exact(_hits(f), f.tree)
+
+
+@query()
+def clade_unique_hll(f):
+    return R.clade_sketches(R.taxon_sketches(_hits(f)), f.tree)
+
+
+_MAIN = """SELECT 100.0::DOUBLE * c.n_reads / t.total AS pct, c.n_reads AS reads, coalesce(tc.n_reads, 0) AS tax_reads, c.n_unique AS kmers, c.n_kmers::DOUBLE / nullif(c.n_unique, 0) AS dup, c.n_unique::DOUBLE / z.kmers_db AS cov,
+    c.taxid, coalesce(x.rank, 'no rank') AS rank, coalesce(x.name, 'unclassified') AS name, coalesce(d.depth, 0) AS depth
+    FROM clade c LEFT JOIN tc ON tc.taxid = c.taxid LEFT JOIN csizes z ON z.taxid = c.taxid LEFT JOIN taxonomy x ON x.taxid = c.taxid LEFT JOIN depths d ON d.taxid = c.taxid
+    CROSS JOIN (SELECT sum(n_reads) AS total FROM clade WHERE taxid IN (0, 1)) t WHERE c.n_reads > 0"""
+
+
+@query(_MAIN)
+def report_main(f):
+    hits = _hits(f).persist()
+    return R.main_report(R.taxon_counts(_calls(f, hits), hits), f.tree, D.taxon_sizes(f.kmer_table)).drop("ord")
+
+
+_ORDER = "SELECT taxid, row_number() OVER (ORDER BY sortkey) AS ord FROM sorts"
+_SORTS = """SELECT s.taxid, string_agg(lpad(r.r::VARCHAR, 8, '0'), '/' ORDER BY s.dist DESC) AS sortkey FROM (SELECT taxid, ancestor, dist FROM closure UNION ALL SELECT 0, 0, 0) s JOIN ranked r ON r.taxid = s.ancestor JOIN shown z ON z.taxid = s.taxid GROUP BY 1"""
+
+
+@query(f"SELECT taxid, ord FROM ({_ORDER})", shown="SELECT * FROM clade WHERE n_reads > 0", ranked="SELECT c.taxid, CASE WHEN c.taxid <= 1 THEN c.taxid ELSE row_number() OVER (PARTITION BY CASE WHEN c.taxid <= 1 THEN -1 ELSE x.parent END ORDER BY c.n_reads DESC, c.n_kmers DESC, c.taxid) END AS r FROM shown c LEFT JOIN taxonomy x ON x.taxid = c.taxid", sorts=_SORTS)
+def report_order(f):
+    hits = _hits(f).persist()
+    return R.main_report(R.taxon_counts(_calls(f, hits), hits), f.tree, D.taxon_sizes(f.kmer_table)).select("taxid", "ord")
+
+
+_CALLED = "SELECT u.up AS taxid, sum(n_reads)::BIGINT AS n FROM rc JOIN (SELECT taxid, ancestor AS up FROM closure UNION ALL SELECT 0, 0) u ON u.taxid = rc.taxid GROUP BY 1"
+
+
+@query(f"SELECT 100.0::DOUBLE * c.n / (SELECT sum(n_reads) FROM rc) AS pct, c.n AS clade_reads, coalesce(rc.n_reads, 0) AS taxon_reads, CASE WHEN c.taxid = 0 THEN 'U' ELSE {_CODE.format('x.rank')} END AS rank_code, c.taxid, repeat('  ', coalesce(d.depth, 0)::BIGINT) || coalesce(x.name, 'unclassified') AS name FROM creads c LEFT JOIN rc ON rc.taxid = c.taxid LEFT JOIN taxonomy x ON x.taxid = c.taxid LEFT JOIN depths d ON d.taxid = c.taxid", creads=_CALLED)
+def report_ranks(f):
+    return R.rank_report(_calls(f).select("read_id", "taxid"), f.tree).drop("ord")
+
+
+@query(
+    f"SELECT l.lineage, coalesce(s.s0, 0) AS s0, coalesce(s.s1, 0) AS s1, coalesce(s.s2, 0) AS s2 FROM (SELECT u.ancestor AS taxid, count(*) FILTER (c.read_id % 3 = 0) AS s0, count(*) FILTER (c.read_id % 3 = 1) AS s1, count(*) FILTER (c.read_id % 3 = 2) AS s2 FROM calls c JOIN closure u ON u.taxid = c.taxid WHERE u.ancestor <> 1 GROUP BY 1) s JOIN (SELECT c.taxid, string_agg(lower({_CODE.format('a.rank')}) || '__' || {_NAME.format('a.name')}, '|' ORDER BY c.dist DESC) AS lineage FROM closure c JOIN taxonomy a ON a.taxid = c.ancestor WHERE c.ancestor <> 1 GROUP BY 1) l ON l.taxid = s.taxid"
+)
+def report_samples(f):
+    calls = _calls(f).withColumn("sample", F.concat(F.lit("s"), (F.col("read_id") % 3).cast("string")))
+    return R.sample_report(calls, f.tree, ["s0", "s1", "s2"])
+
+
+# -- after classification --------------------------------------------------------------------------------------
+
+_UNAMB = "SELECT read_id, count(*) AS total FROM hits WHERE NOT ambig GROUP BY 1"
+_BELOW = "SELECT h.read_id, c.ancestor, count(*) AS n FROM hits h JOIN closure c ON c.taxid = h.taxon WHERE NOT h.ambig AND h.taxon <> 0 GROUP BY 1, 2"
+_CLIMB = "SELECT k.read_id, c.ancestor, c.dist, coalesce(b.n, 0)::DOUBLE / t.total AS p FROM calls k JOIN closure c ON c.taxid = k.taxid AND c.ancestor <> 1 JOIN unamb t ON t.read_id = k.read_id LEFT JOIN below b ON b.read_id = k.read_id AND b.ancestor = c.ancestor WHERE k.taxid > 1"
+
+
+@query("SELECT k.read_id, CASE WHEN k.taxid <= 1 THEN k.taxid ELSE coalesce(f.t, 1) END AS taxid, coalesce(f.p, l.p, 0) AS p FROM calls k LEFT JOIN (SELECT read_id, arg_min(ancestor, dist) AS t, arg_min(p, dist) AS p FROM climb WHERE p >= 0.6 - 1e-5 GROUP BY 1) f ON f.read_id = k.read_id LEFT JOIN (SELECT read_id, arg_max(p, dist) AS p FROM climb GROUP BY 1) l ON l.read_id = k.read_id", unamb=_UNAMB, below=_BELOW, climb=_CLIMB)
+def confidence_filter(f):
+    return P.confidence_filter(_classified(f), f.tree, 0.6)
+
+
+@query("SELECT k.read_id, coalesce(string_agg(a.name, ';' ORDER BY c.dist DESC), '') AS lineage FROM calls k LEFT JOIN closure c ON c.taxid = k.taxid AND c.ancestor <> 1 LEFT JOIN taxonomy a ON a.taxid = c.ancestor WHERE k.taxid <> 0 GROUP BY 1")
+def translate_names(f):
+    return P.translate(_calls(f), f.tree)
+
+
+@query(f"SELECT k.read_id, coalesce(string_agg(lower({_CODE.format('a.rank')}) || '__' || {_NAME.format('a.name')}, '|' ORDER BY c.dist DESC), 'root') AS lineage FROM calls k LEFT JOIN closure c ON c.taxid = k.taxid AND c.ancestor <> 1 LEFT JOIN taxonomy a ON a.taxid = c.ancestor WHERE k.taxid <> 0 GROUP BY 1")
+def translate_ranked(f):
+    return P.translate(_calls(f), f.tree, "ranked")
+
+
+_ORD = "CASE coalesce({0}, 'no rank') WHEN 'no rank' THEN 1 WHEN 'species' THEN 5 WHEN 'genus' THEN 9 WHEN 'phylum' THEN 23 END"
+_AT = "SELECT c.taxid, a.rank, arg_min(c.ancestor, c.dist) AS t FROM closure c JOIN taxonomy a ON a.taxid = c.ancestor WHERE a.rank <> 'no rank' GROUP BY 1, 2"
+_GRADED = f"SELECT k.read_id, q.rank, CASE WHEN {_ORD.format('x.rank')} > q.o THEN 'higher_rank' WHEN coalesce(a.t, 0) = coalesce(b.t, 0) THEN 'correct' ELSE 'incorrect' END AS verdict FROM calls k JOIN reads r ON r.read_id = k.read_id CROSS JOIN (VALUES ('species', 5), ('genus', 9), ('phylum', 23)) q(rank, o) LEFT JOIN taxonomy x ON x.taxid = k.taxid LEFT JOIN at_ranks a ON a.taxid = r.true_taxid AND a.rank = q.rank LEFT JOIN at_ranks b ON b.taxid = k.taxid AND b.rank = q.rank"
+_RANKS = ["species", "genus", "phylum"]
+
+
+def _truths(f):
+    return _calls(f).join(f.reads.select("read_id", "true_taxid"), "read_id")
+
+
+@query("SELECT read_id, rank, verdict FROM graded", at_ranks=_AT, graded=_GRADED)
+def grade_reads(f):
+    return P.grade(_truths(f), f.tree, _RANKS)
+
+
+@query("SELECT rank, (SELECT count(*) FROM reads) AS total_reads, count(*) FILTER (verdict = 'correct') AS correct, count(*) FILTER (verdict = 'incorrect') AS incorrect, count(*) FILTER (verdict = 'higher_rank') AS higher_rank, (SELECT count(*) FROM reads) - count(*) AS unidentified, 100.0::DOUBLE * count(*) FILTER (verdict = 'correct') / (SELECT count(*) FROM reads) AS sensitivity, 100.0::DOUBLE * count(*) FILTER (verdict = 'correct') / nullif(count(*) FILTER (verdict IN ('correct', 'incorrect')), 0) AS \"precision\" FROM graded GROUP BY 1", at_ranks=_AT, graded=_GRADED)
+def grade_summary(f):
+    return P.grade_summary(P.grade(_truths(f), f.tree, _RANKS), f.reads.agg(F.count("*").alias("total_reads")))
+
+
+@query("SELECT 'genus' AS rank, count(t) AS true_count, count(c) FILTER (t IS NOT NULL) AS correct, count(c) FILTER (t IS NULL) AS incorrect, 100.0::DOUBLE * count(c) FILTER (t IS NOT NULL) / count(t) AS recall, 100.0::DOUBLE * count(c) FILTER (t IS NOT NULL) / count(c) AS \"precision\" FROM (SELECT DISTINCT a.t FROM reads r JOIN at_ranks a ON a.taxid = r.true_taxid AND a.rank = 'genus') x FULL JOIN (SELECT DISTINCT a.t AS c FROM calls k JOIN at_ranks a ON a.taxid = k.taxid AND a.rank = 'genus') y ON x.t = y.c", at_ranks=_AT)
+def grade_taxa_sets(f):
+    return P.grade_taxa(_truths(f), f.tree, "genus")
+
+
+@query("SELECT coalesce(x.rank, 'no rank') AS lca_rank, count(*) AS n FROM (SELECT r.read_id, CASE WHEN k.taxid = 0 THEN r.true_taxid ELSE l.lca END AS lca FROM reads r JOIN calls k ON k.read_id = r.read_id LEFT JOIN (SELECT x.taxid AS a, y.taxid AS b, arg_min(x.ancestor, x.dist) AS lca FROM closure x JOIN closure y ON x.ancestor = y.ancestor GROUP BY 1, 2) l ON l.a = r.true_taxid AND l.b = k.taxid) z LEFT JOIN taxonomy x ON x.taxid = z.lca GROUP BY 1")
+def lca_rank_histogram(f):
+    return P.lca_ranks(_truths(f), f.tree)
+
+
+@query("SELECT 'G' || (k.read_id % (SELECT count(*) FROM supplier))::VARCHAR || '.1' AS seq_id, count(*) AS n, count(*) FILTER (k.taxid = r.true_taxid) AS exact FROM calls k JOIN reads r ON r.read_id = k.read_id GROUP BY 1")
+def grade_truth_join(f):
+    n = f.table("supplier").agg(F.count("*").alias("n"))
+    named = _calls(f).crossJoin(F.broadcast(n)).select(F.concat(F.lit("sim_"), F.col("read_id").cast("string"), F.lit("_G"), (F.col("read_id") % F.col("n")).cast("string"), F.lit(".1_x")).alias("read_id"), "taxid")  # n is one row
+    ids = f.genomes.select("seq_id", "taxid")
+    found = P.truth(named, ids, "_(G\\d+\\.1)_")
+    return found.groupBy(F.regexp_extract("read_id", "_(G\\d+\\.1)_", 1).alias("seq_id")).agg(F.count("*").alias("n"), F.sum((F.col("taxid") == F.col("true_taxid")).cast("bigint")).alias("exact"))

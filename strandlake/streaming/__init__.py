@@ -1 +1 @@
-
+"""Continuous classification."""
