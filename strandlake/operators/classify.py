@@ -102,14 +102,52 @@ def decode_hitlist(classified: DataFrame) -> DataFrame:
     return each.select("read_id", F.col("ord").cast("bigint").alias("ord"), F.split_part("item", F.lit(":"), F.lit(1)).alias("code"), F.split_part("item", F.lit(":"), F.lit(2)).cast("bigint").alias("n"))
 
 
+def _let(value, use):
+    """``use`` of a value computed once; named columns would be put into lambdas and computed at every step."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _rendered(codes):
+    """Hit list of an array of codes (-1: ambiguous) in read order."""
+    n = F.size(codes)
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(codes, i - 1) != F.get(codes, i - 2)))
+    name = lambda c: F.when(c == -1, "A").otherwise(c.cast("string"))
+    return _let(starts, lambda s: F.array_join(F.transform(s, lambda at, j: F.concat(name(F.get(codes, at - 1)), F.lit(":"), (F.coalesce(F.get(s, j + 1), n + 1) - at).cast("string"))), " "))
+
+
+def classified_in_one_pass(reads: DataFrame, table: DataFrame, tree: DataFrame, k: int) -> DataFrame:
+    """(read_id, taxid, length, hitlist): after the lookup each read's windows are gathered once, by one shuffle; hit list,
+    counts and vote follow from that array, and the taxonomy's paths join in without moving the reads again."""
+    sized = reads.select("read_id", "seq", F.length("seq").cast("bigint").alias("length"))
+    windows = dna.with_kmers(sized, k, keep=("read_id", "length"))
+    keyed = windows.withColumn("kmer", F.when(~F.col("ambig"), F.col("canon"))).join(table.select("kmer", "taxon"), "kmer", "left")
+    code = F.when(F.col("ambig"), F.lit(-1)).otherwise(F.coalesce("taxon", F.lit(0))).cast("bigint")
+    gathered = keyed.groupBy("read_id", "length").agg(F.collect_list(F.struct("pos", code.alias("code"))).alias("w"))
+    codes = F.transform(F.array_sort("w"), lambda x: x["code"])
+    taxa = lambda c: F.transform(F.array_distinct(F.filter(c, lambda x: x > 0)), lambda t: F.struct(t.alias("taxon"), F.size(F.filter(c, lambda x: x == t)).cast("bigint").alias("n")))
+    whole = gathered.select("read_id", "length", _let(codes, lambda c: F.struct(_rendered(c).alias("hitlist"), taxa(c).alias("taxa"))).alias("r"))
+    each = whole.select("read_id", "length", "r.hitlist", F.explode_outer("r.taxa").alias("t")).select("read_id", "length", "hitlist", "t.taxon", "t.n")
+    paths = each.join(tree.select(F.col("taxid").alias("taxon"), "path"), "taxon", "left")
+    voted = paths.groupBy("read_id", "length").agg(F.first("hitlist").alias("hitlist"), F.collect_list(F.when(F.col("path").isNotNull(), F.struct("taxon", "n", "path"))).alias("h"))
+    total = lambda h, t: F.aggregate(h, F.lit(0).cast("bigint"), lambda s, u: s + F.when(F.array_contains(t["path"], u["taxon"]), u["n"]).otherwise(0))
+    scores = lambda h: F.transform(h, lambda t: F.struct(total(h, t).alias("score"), t["path"].alias("path")))
+    top = lambda s: _top_end(F.transform(F.filter(s, lambda x: x["score"] == F.array_max(F.transform(s, lambda y: y["score"]))), lambda x: x["path"]))
+    call = F.when(F.size("h") > 0, _let(scores(F.col("h")), top)).otherwise(0).cast("bigint")
+    long = voted.select("read_id", call.alias("taxid"), "length", "hitlist")
+    short = sized.where((F.octet_length("seq") < k) | F.col("seq").isNull()).select("read_id", F.lit(0).cast("bigint").alias("taxid"), F.coalesce("length", F.lit(0)).alias("length"), F.lit("0:0").alias("hitlist"))
+    return long.unionByName(short)
+
+
 def classify(reads: DataFrame, tables: list[DataFrame], tree: DataFrame, k: int, quick: bool = False, min_hits: int = 1, only_classified: bool = False, print_sequence: bool = False) -> DataFrame:
     """Classification rows: status, read_id, taxid, length, hitlist[, seq]."""
-    hits = lookup(reads, merge_databases(tables), k)
+    table = merge_databases(tables)
     if quick:
-        calls = quick_calls(reads, hits, min_hits).select("read_id", "taxid", F.concat(F.lit("Q:"), F.col("hits")).alias("hitlist"))
+        calls = quick_calls(reads, lookup(reads, table, k), min_hits)
+        rows = reads.select("read_id", F.length("seq").cast("bigint").alias("length")).join(calls.select("read_id", "taxid", F.concat(F.lit("Q:"), F.col("hits").cast("string")).alias("hitlist")), "read_id")
     else:
-        calls = vote(reads, hit_counts(hits), tree).select("read_id", "taxid").join(hitlists(reads, hits), "read_id")
-    rows = reads.select("read_id", F.length("seq").cast("bigint").alias("length"), *([F.col("seq")] if print_sequence else [])).join(calls, "read_id")
+        rows = classified_in_one_pass(reads, table, tree, k)
+    if print_sequence:
+        rows = rows.join(reads.select("read_id", "seq"), "read_id")
     out = rows.select(F.when(F.col("taxid") != 0, "C").otherwise("U").alias("status"), "read_id", "taxid", "length", "hitlist", *(["seq"] if print_sequence else []))
     return out.where("taxid <> 0") if only_classified else out
 

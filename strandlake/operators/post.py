@@ -54,7 +54,7 @@ def grade(truths: DataFrame, tree: DataFrame, ranks: list[str]) -> DataFrame:
     no rank, so it is incorrect at each.
     """
     order = F.create_map(*[F.lit(x) for i, r in enumerate(RANKS) for x in (r, i)])
-    known = truths.join(tree.select(F.col("taxid").alias("true_taxid")), "true_taxid", "left_semi").join(tree.select("taxid", F.col("rank").alias("called_rank")), "taxid", "left").withColumn("o", F.coalesce(F.try_element_at(order, F.coalesce("called_rank", F.lit("no rank"))), F.lit(0)))
+    known = truths.join(tree.select(F.col("taxid").alias("true_taxid")), "true_taxid", "left_semi").join(tree.select("taxid", F.col("rank").alias("called_rank")), "taxid", "left").withColumn("o", F.coalesce(F.try_element_at(order, F.coalesce("called_rank", F.lit("no rank"))), F.lit(0))).persist()  # one row a read, used once a rank
     out = None
     for rank in ranks:
         at = at_rank(tree, rank)

@@ -65,7 +65,8 @@ def main_report(counts: DataFrame, tree: DataFrame, table_sizes: DataFrame, show
 
     pct is of all reads; dup is null without unique k-mers and cov is null where the table has none of the clade.
     """
-    clades = clade_counts(counts, tree)
+    counts = counts.persist()  # a row a taxon, read five times below
+    clades = clade_counts(counts, tree).persist()
     sizes = clade_counts(table_sizes.select(F.col("taxon").alias("taxid"), F.col("n_kmers").alias("kmers_db")), tree, "kmers_db")
     own = counts.select("taxid", F.col("n_reads").alias("tax_reads"), F.col("n_unique").alias("tax_kmers"), F.col("n_kmers").alias("tax_kmers_total"))
     total = clades.agg(F.sum(F.when(F.col("taxid").isin(0, 1), F.col("n_reads"))).alias("total"))
@@ -81,7 +82,7 @@ def main_report(counts: DataFrame, tree: DataFrame, table_sizes: DataFrame, show
 
 def rank_report(calls: DataFrame, tree: DataFrame, show_zeros: bool = False) -> DataFrame:
     """Clade report from calls alone: pct, clade_reads, taxon_reads, rank_code, taxid, name (indented), ord."""
-    own = calls.groupBy("taxid").agg(F.count("*").alias("taxon_reads"))
+    own = calls.groupBy("taxid").agg(F.count("*").alias("taxon_reads")).persist()
     if show_zeros:
         own = tree.select("taxid").join(own, "taxid", "full").select("taxid", F.coalesce("taxon_reads", F.lit(0)).alias("taxon_reads"))
     clades = clade_counts(own.withColumnRenamed("taxon_reads", "clade_reads"), tree, "clade_reads")
