@@ -100,6 +100,21 @@ def descendants(tree: DataFrame, roots: list[int], pruned: DataFrame | None = No
     return below.join(below.select("taxid", F.explode("path").alias("cut")).join(cut, "cut", "left_semi").select("taxid").distinct(), "taxid", "left_anti").select("taxid")
 
 
+#: Groups of top taxa by name, ascending.
+DIVISIONS = {
+    "archaea": (2157,), "bacteria": (2,), "fungi": (4751,), "parasitic_worms": (6178, 6199, 6231, 10232, 37945), "viral": (10239, 12884),
+    "protozoa": (2763, 2830, 3027, 3041, 5719, 5752, 28009, 33630, 33634, 33682, 38254, 66288, 136087, 137418, 190322, 193537, 207245, 339960, 419944, 543769, 554296, 554915, 556282, 589438, 759891, 1084709, 1401294),
+}
+
+
+def accepted_taxa(tree: DataFrame, group: str) -> DataFrame:
+    """(taxid) of a division, or of ``taxID<n>``, without environmental samples and what is below them."""
+    roots = [int(group[5:])] if group[:5].lower() == "taxid" and group[5:].isdigit() else DIVISIONS.get(group)
+    if roots is None:
+        raise ValueError(f"{group} is neither one of {', '.join(sorted(DIVISIONS))} nor taxID<n>")
+    return descendants(tree, list(roots), tree.where(F.lower("name").contains("environmental samples")))
+
+
 def is_below(tree: DataFrame, taxid: int) -> Column:
     return F.array_contains("path", F.lit(taxid).cast("bigint"))
 

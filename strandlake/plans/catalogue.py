@@ -209,6 +209,11 @@ def descendants_pruned(f):
     return T.descendants(f.tree, [11], f.taxonomy.where("taxid % 5 = 2 AND taxid BETWEEN 100 AND 199"))
 
 
+@query("SELECT taxid FROM closure WHERE ancestor = 13")
+def accepted_taxa(f):
+    return T.accepted_taxa(f.tree, "taxID13")
+
+
 # -- database --------------------------------------------------------------------------------------------------
 
 
