@@ -28,7 +28,7 @@ _N, _U, _P = "\u0001", "\u0003", "\u0002"
 def words(text: Column) -> Column:
     """Array of words; names start with U+0002, units with U+0003, numbers with a digit. Null for null."""
     t = F.regexp_replace(F.translate(text, _N + _P + _U, "   "), f"(?i)(?<=[0-9]) ?\\b({_UNITS})\\b", f" {_U}$1")
-    t = F.regexp_replace(t, "(?<=[\\p{Ll}0-9,;:)] )(?=\\p{Lu}\\p{L})", _P)
+    t = F.regexp_replace(t, "(?<=[\\p{Ll}0-9,;:)] )(?=\\p{Lu}\\p{Ll})", _P)
     t = F.regexp_replace(F.lower(t), "(?<=[0-9])[.,](?=[0-9])", "")
     return F.filter(F.split(t, f"[^\\p{{L}}\\p{{N}}{_U}{_P}]+"), lambda w: w != "")
 
@@ -41,7 +41,8 @@ def _slot(w: Column) -> Column:
 
 def _codes(w: Column) -> Column:
     """Hash of each template word; slots have small codes of their own."""
-    return F.transform(w, lambda x: F.coalesce(F.when(_slot(x) == _P, F.lit(2)).when(_slot(x) == _U, F.lit(3)).when(_slot(x) == _N, F.lit(1)).cast("long"), F.xxhash64(x)))
+    first = lambda x: F.substring(x, 1, 1)
+    return F.transform(w, lambda x: F.when(x >= ":", F.xxhash64(x)).when(first(x) == _P, F.lit(2).cast("long")).when(first(x) == _U, F.lit(3).cast("long")).otherwise(F.lit(1).cast("long")))  # letters sort after ':'
 
 
 def _windows(codes: Column, size: int) -> Column:
@@ -106,9 +107,13 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     # Windows of this alignment that match word by word, slots by kind.
     kind = lambda w: F.coalesce(_slot(w), w)
     same = F.zip_with("item", F.slice(F.concat(F.array_repeat(F.lit("\u0004"), F.greatest(-F.col("shift"), F.lit(0))), "words"), F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("item")), lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.coalesce((kind(a) == kind(b)) | (_plain(a) == _plain(b)), F.lit(False)).alias("ok")))
-    laid = one.withColumn("laid", same).withColumn("hit", F.filter("starts", lambda s: F.forall(F.slice("laid", s, F.col("size")), lambda x: x["ok"])))
+    # Each of these is read many times by the next step's lambdas, and the optimiser would put it inside them.
+    laid = materialise(one.withColumn("laid", same).drop("words", "item"), "laid")
+    laid = laid.withColumn("hit", F.filter("starts", lambda s: F.forall(F.slice("laid", s, F.col("size")), lambda x: x["ok"])))
     inside = F.filter("laid", lambda x, i: F.exists("hit", lambda s: (i + 1 >= s) & (i + 1 < s + F.col("size"))) & _slot(x["a"]).isNotNull())
+    laid = materialise(laid, "hits")
     slots = laid.withColumn("slots", F.array_distinct(F.transform(inside, lambda x: F.struct(_plain(x["a"]).alias("a"), _plain(x["b"]).alias("b")))))
+    slots = materialise(slots.drop("laid"), "slots")
     distinct = lambda side: F.size(F.array_distinct(F.transform("slots", lambda x: x[side])))
     sound = slots.where((distinct("a") == F.size("slots")) & (distinct("b") == F.size("slots")))
     verbatim = F.forall("slots", lambda x: x["a"] == x["b"])
