@@ -26,7 +26,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries of each of the two generations of a table of encoded pre-tokens in a worker process.
-TABLE_ENTRIES = 160_000
+TABLE_ENTRIES = 250_000
 _L = "a-zA-ZªµºÀ-ÖØ-öø-ɏ"
 _N = "0-9²³¹¼-¾"
 _S = "\t-\r \u0085 "
@@ -90,14 +90,20 @@ class Bpe:
             raise ValueError(f"{path}: some entry has no or several derivations")
         rank = {t: i for i, t in enumerate([*base, *joined])}
         self.ids = [vocab[t] for t in rank]
+        self.raw_ids = [i.to_bytes(4, "little") for i in self.ids]
         self.pairs = {(rank[a], rank[b]): rank[t] for (a, b), t in zip(merges, joined, strict=True)}
         self.halves = [(i, i) for i in range(len(base))] + [(rank[a], rank[b]) for a, b in merges]
         # A word-final letter is a symbol of its own: move it to a private plane, so that one entry letter is one symbol.
         self.automaton = ahocorasick.Automaton()
         for t, i in rank.items():
             s = self._closed(t[: -len(self.end)]) if self.end and t.endswith(self.end) else t
-            self.automaton.add_word(s[::-1], (i, len(s)))
+            self.automaton.add_word(s, (i, len(s)))
         self.automaton.make_automaton()
+        # For each entry the next shorter one that it starts with.
+        closed = {s: v for s, v in self.automaton.items()}
+        self.shorter = [None] * len(rank)
+        for s, (i, n) in closed.items():
+            self.shorter[i] = next((closed[s[:k]] for k in range(n - 1, 0, -1) if s[:k] in closed), None)
         self.compatible = _Table(lambda ab: self._compatible(ab >> 20, ab & 0xFFFFF), 300_000)
         # Offset table for decoding: entry i is blob[offsets[i]:offsets[i + 1]], a space after each where no decoder joins.
         by_id = {i: t for t, i in [*vocab.items(), *self.special.items()]}
@@ -109,8 +115,8 @@ class Bpe:
         self.offsets = np.concatenate([[0], np.cumsum([len(e) for e in entries])]).astype(np.int64)
         self.bytes_of = _Table(self._bytes)
         # Where white space is dropped, stretches between white space are looked up before they are split further.
-        self.chunk_of = _Table(lambda chunk: b"".join(map(self.bytes_of.__getitem__, self.split.findall(chunk))))
-        self.count_of = _Table(lambda word: len(self.encode_piece(self._letters(word))))
+        self.chunk_of = _Table(self._chunk)
+        self.count_of = _Table(lambda word: len(self.entries(self._letters(word))))
         self._library = None
 
     def __reduce__(self):
@@ -122,6 +128,8 @@ class Bpe:
         return s[:-1] + chr(0xF0000 + ord(s[-1]))
 
     def _letters(self, word: str) -> str:
+        if word.isascii() and word.isprintable() and " " not in word:
+            return word
         return "".join(map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass")))
 
     def pieces(self, text: str) -> tuple[list[str], bool]:
@@ -166,38 +174,53 @@ class Bpe:
                     if a == limit:
                         return True
 
-    def encode_piece(self, letters: str) -> list[int]:
-        """The ids of one pre-token given in byte letters."""
+    def entries(self, letters: str) -> list[tuple[int, int]]:
+        """(rank, length) of the entries that one pre-token in byte letters becomes."""
         if not letters:
             return []
         s = self._closed(letters) if self.end else letters
-        n = len(s)
-        found: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]  # by start, longest first
-        for last, entry in self.automaton.iter(s[::-1]):
-            found[n - 1 - last].append(entry)
-        out: list[tuple[int, int, int]] = []  # rank, start, index among the entries found there
+        n, compatible, shorter, longest = len(s), self.compatible, self.shorter, self.automaton.iter_long
+        out: list[tuple[int, int]] = []  # entries in ranks, with their lengths
         dead = bytearray(n + 1)
-        at = index = 0
-        while at < n:
-            here = found[at]
-            while index < len(here):
-                token, size = here[index]
-                if not dead[at + size] and (not out or self.compatible[out[-1][0] << 20 | token]):
+        # One pass finds the longest entries along the greedy path; only places off it are looked up one by one.
+        path, at = {}, 0
+        for _, entry in longest(s):
+            path[at] = entry
+            at += entry[1]
+        at, last, entry = 0, -1, path[0]
+        while True:
+            while entry is not None:
+                token, size = entry
+                if not dead[at + size] and (last < 0 or compatible[last << 20 | token]):
                     break
-                index += 1
+                entry = shorter[token]
             else:
                 dead[at] = 1
                 if not out:
                     raise ValueError(f"no encoding of {letters!r}")
-                _, at, index = out.pop()
-                index += 1
+                token, size = out.pop()
+                at, last = at - size, out[-1][0] if out else -1
+                entry = shorter[token]
                 continue
-            out.append((token, at, index))
-            at, index = at + size, 0
-        return [self.ids[t] for t, _, _ in out]
+            out.append(entry)
+            at, last = at + size, token
+            if at == n:
+                return out
+            entry = path.get(at) or next(longest(s, at))[1]
+
+    def encode_piece(self, letters: str) -> list[int]:
+        """The ids of one pre-token given in byte letters."""
+        return [self.ids[t] for t, _ in self.entries(letters)]
 
     def _bytes(self, word: str) -> bytes:
-        return np.array(self.encode_piece(self._letters(word)), "<u4").tobytes()
+        raw = self.raw_ids
+        return b"".join([raw[t] for t, _ in self.entries(self._letters(word))])
+
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            return self._bytes(chunk)
+        pieces = self.split.findall(chunk)
+        return self._bytes(chunk) if pieces == [chunk] else b"".join(map(self.bytes_of.__getitem__, pieces))
 
     def encode_bytes(self, text: str | None) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers; null is the empty text."""
@@ -210,7 +233,7 @@ class Bpe:
             elif part:
                 pieces, mapped = self.pieces(part)
                 if mapped:
-                    out.extend(np.array(self.encode_piece(p), "<u4").tobytes() for p in pieces)
+                    out.extend(b"".join([self.raw_ids[t] for t, _ in self.entries(p)]) for p in pieces)
                 else:
                     out.append(b"".join(map(self.bytes_of.__getitem__, pieces)))
         return b"".join(out)
