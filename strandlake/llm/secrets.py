@@ -134,7 +134,8 @@ def scan(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
     Null and empty texts have none; null ids stay null; repeated rows report again; an empty table gives an empty one.
     """
     found = _scored(docs.select(F.col(id_col), F.col(text_col), *([path_col] if path_col and path_col in docs.columns and path_col not in (id_col, text_col) else [])), model, text_col, path_col, "__hits")
-    some = found.where(F.exists("__hits", lambda x: x["score"] >= threshold)).select(F.col(id_col).alias("id"), "__gaps", "__hits", F.monotonically_increasing_id().alias("row"))
+    # Numbering rows first keeps the filter above: pushed down, it would put the splitting of the text into its lambdas.
+    some = found.select(F.col(id_col).alias("id"), "__gaps", "__hits", F.monotonically_increasing_id().alias("row")).where(F.exists("__hits", lambda x: x["score"] >= threshold))
     each = some.select("id", "row", F.posexplode(F.transform("__hits", lambda x, i: F.struct(x["candidate"].alias("c"), x["score"].alias("score"), F.length(F.col("__gaps")[i]).alias("gap")))).alias("seq", "x"))
     spans = each.selectExpr("id", "x.c", "x.score", "sum(x.gap + length(x.c)) OVER (PARTITION BY row ORDER BY seq ROWS UNBOUNDED PRECEDING) - length(x.c) AS start")
     return spans.where(F.col("score") >= threshold).select(F.col("id").alias(id_col), F.col("start").cast("long"), F.length("c").alias("length"), F.col("score"), F.sha2("c", 256).alias("sha256"))
