@@ -112,7 +112,8 @@ def train(findings: DataFrame, trees: int = 25, depth: int = 7, seed: int = 5) -
     from pyspark.ml.feature import VectorAssembler
 
     x = features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"))
-    rows = findings.select("label", *(f.alias(n) for f, n in zip(x, FEATURES, strict=True))).repartition(2).cache()
+    # One partition in a fixed order: bootstraps follow it, so the same findings give the same forest.
+    rows = findings.select("label", *(f.alias(n) for f, n in zip(x, FEATURES, strict=True))).repartition(1).sortWithinPartitions("label", *FEATURES).cache()
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="x", labelCol="label", featureSubsetStrategy="sqrt").fit(VectorAssembler(inputCols=FEATURES, outputCol="x").transform(rows))
     rows.unpersist()
     return f"({' + '.join(_expression(t.toDebugString) for t in model.trees)}) / {trees}"
