@@ -3,10 +3,11 @@
 Texts become words, lower-cased and without punctuation; numbers, the units after them and capitalised names inside
 sentences become typed placeholders (slots). All windows of ``WINDOW`` template words of the benchmark are hash-joined
 with all windows of the documents, so a question asked again with other numbers, names or units still matches. For
-each document and item that share enough windows, the words are then laid side by side along their alignment: each
-slot value of the item must go to one value of the document throughout (and back), or the match is a coincidence of
-templates. An item counts as leaked where its consistent windows are at least ``ENOUGH`` (13 words in a row) or all
-that it has.
+each document and item that share enough windows, the words are then laid side by side along their alignment. Windows
+are consistent where each slot value of the item goes to one value of the document in all of them; different values may
+become equal. Of each alignment the largest run of windows that are consistent among themselves counts, or all verbatim
+windows where these are more: a conflict elsewhere takes nothing from them. An item counts as leaked where its
+consistent windows are at least ``ENOUGH`` (13 words in a row) or all that it has.
 """
 
 from __future__ import annotations
@@ -109,15 +110,25 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     same = F.zip_with("item", F.slice(F.concat(F.array_repeat(F.lit("\u0004"), F.greatest(-F.col("shift"), F.lit(0))), "words"), F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("item")), lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.coalesce((kind(a) == kind(b)) | (_plain(a) == _plain(b)), F.lit(False)).alias("ok")))
     # Each of these is read many times by the next step's lambdas, and the optimiser would put it inside them.
     laid = materialise(one.withColumn("laid", same).drop("words", "item"), "laid")
-    laid = laid.withColumn("hit", F.filter("starts", lambda s: F.forall(F.slice("laid", s, F.col("size")), lambda x: x["ok"])))
-    inside = F.filter("laid", lambda x, i: F.exists("hit", lambda s: (i + 1 >= s) & (i + 1 < s + F.col("size"))) & _slot(x["a"]).isNotNull())
+    laid = laid.withColumn("hit", F.array_sort(F.filter("starts", lambda s: F.forall(F.slice("laid", s, F.col("size")), lambda x: x["ok"]))))
+    laid = laid.withColumn("exact", F.filter("hit", lambda s: F.forall(F.slice("laid", s, F.col("size")), lambda x: _plain(x["a"]) == _plain(x["b"]))))
     laid = materialise(laid, "hits")
-    slots = laid.withColumn("slots", F.array_distinct(F.transform(inside, lambda x: F.struct(_plain(x["a"]).alias("a"), _plain(x["b"]).alias("b")))))
-    slots = materialise(slots.drop("laid"), "slots")
-    distinct = lambda side: F.size(F.array_distinct(F.transform("slots", lambda x: x[side])))
-    sound = slots.where((distinct("a") == F.size("slots")) & (distinct("b") == F.size("slots")))
+    numbered = F.transform("laid", lambda x, i: F.struct((i + 1).alias("at"), _plain(x["a"]).alias("a"), _plain(x["b"]).alias("b"), _slot(x["a"]).isNotNull().alias("slot")))
+    inside = F.filter(numbered, lambda x: x["slot"] & F.exists("hit", lambda s: (x["at"] >= s) & (x["at"] < s + F.col("size"))))
+    slots = materialise(laid.withColumn("slots", inside).drop("laid"), "slots")
+    # For each slot the last one before it that contradicts it.
+    clash = F.transform("slots", lambda y: F.struct(F.array_max(F.transform(F.filter("slots", lambda x: (x["at"] < y["at"]) & (x["a"] == y["a"]) & (x["b"] != y["b"])), lambda x: x["at"])).alias("first"), y["at"].alias("second")))
+    slots = materialise(slots.withColumn("clashes", F.filter(clash, lambda c: c["first"].isNotNull())), "clashes")
+    # A run from s ends before the first clash that lies within it.
+    end = lambda s: F.array_min(F.transform(F.filter("clashes", lambda c: c["first"] >= s), lambda c: c["second"]))
+    runs = F.transform("hit", lambda s: F.struct(s.alias("from"), F.coalesce(end(s), F.lit(2**31 - 1)).alias("end")))
+    slots = materialise(slots.withColumn("runs", F.when(F.size("clashes") > 0, runs)), "runs")
+    run = lambda r: F.filter("hit", lambda t: (t >= r["from"]) & (t + F.col("size") <= r["end"]))
+    sets = F.transform("runs", lambda r: F.struct(F.size(run(r)).alias("n"), run(r).alias("windows")))
+    longest = F.coalesce(F.array_max(sets)["windows"], F.col("hit"))
+    kept = slots.withColumn("best", F.when(F.size(longest) >= F.size("exact"), longest).otherwise(F.col("exact")))
     verbatim = F.forall("slots", lambda x: x["a"] == x["b"])
-    merged = sound.groupBy("id", "row", "item_id", "total").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("windows"), F.every(verbatim).alias("verbatim"))
+    merged = kept.groupBy("id", "row", "item_id", "total").agg(F.size(F.array_distinct(F.flatten(F.collect_list("best")))).alias("windows"), F.every(verbatim).alias("verbatim"))
     leaked = merged.where(F.col("windows") >= F.least(F.lit(enough), "total"))
     return leaked.select(F.col("id").alias(id_col), "item_id", F.col("windows").cast("long"), F.col("total").cast("long").alias("of"), "verbatim")
 

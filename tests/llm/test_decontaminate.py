@@ -45,3 +45,15 @@ def test_plan_is_native(spark):
     docs = spark.createDataFrame(rows(TEXTS), COLUMNS)
     plan = found(spark, docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_runs_count_though_the_alignment_conflicts(spark):
+    item = "Anna has 3 red apples and 5 green pears in a basket by the door, and she gives 3 of them to every child who asks for fruit before noon today"
+    texts = [
+        (1, "so: " + item.replace("gives 3", "gives 9")), (2, "so: " + item.replace("3", "4").replace("5", "4")), (3, "so: " + item.replace("has 3", "has 6").replace("gives 3", "gives 9")),
+        (4, "she has 6 red apples and 5 green pears but no basket"),
+    ]
+    docs, items = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(100, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in D.matches(docs, items).collect()}
+    assert set(got) == {1, 2, 3} and not any(r.verbatim for r in got.values())
+    assert got[2].windows == got[2]["of"] and got[1].windows < got[1]["of"] and got[3].windows < got[3]["of"]
