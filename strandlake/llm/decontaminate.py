@@ -8,6 +8,9 @@ are consistent where each slot value of the item goes to one value of the docume
 become equal. Of each alignment the largest run of windows that are consistent among themselves counts, or all verbatim
 windows where these are more: a conflict elsewhere takes nothing from them. An item counts as leaked where its
 consistent windows are at least ``ENOUGH`` (13 words in a row) or all that it has.
+
+Items without a window of enough literal words (short ones, questions full of numbers or names) and items in scripts
+without spaces are searched for as they stand: windows of plain words, where each character of such a script is a word.
 """
 
 from __future__ import annotations
@@ -16,13 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, ENOUGH = 8, 6
-#: Items of fewer words than this match by chance and aren't searched; those below ``WINDOW`` are one window of their own length.
+#: Templates of fewer words than this match by chance, so such items are searched verbatim; those below ``WINDOW`` are one window of their own length.
 LEAST = 5
 #: Template words of a window that must not be slots.
 LITERAL = 4
 #: Benchmark windows, and document-item pairs, up to which they are broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 1_000_000
 _UNITS = "km|cm|mm|m|kg|mg|g|lbs?|oz|ml|l|s|secs?|seconds?|mins?|minutes?|hrs?|h|hours?|days?|weeks?|months?|years?|miles?|feet|ft|inch(?:es)?|dollars?|euros?|cents?|percent|degrees?|mph|kmh|watts?|volts?|tons?|pounds?|liters?|litres?|meters?|metres?"
+_UNSPACED = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}\\p{IsTibetan}]"
 _N, _U, _P = "\u0001", "\u0003", "\u0002"
 
 
@@ -57,21 +61,40 @@ def _plain(w: Column) -> Column:
     return F.translate(w, _P + _U, "")
 
 
+def _every(codes: Column, least: int) -> Column:
+    """Windows of the length in ``size``."""
+    return F.coalesce(*[F.when(F.col("size") == k, _windows(codes, k)) for k in range(least, WINDOW + 1)])
+
+
+def _templates(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(item_id, text, words, size, codes, good, total): items with words; good windows have enough literal words."""
+    w = items.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).withColumn("words", words(F.col("text"))).where((F.size("words") > 0) & F.col("item_id").isNotNull())
+    w = w.withColumn("size", F.least(F.size("words"), F.lit(WINDOW))).withColumn("codes", _codes(F.col("words")))
+    good = F.filter(_every(F.col("codes"), LEAST), lambda x: F.size(F.filter(F.slice(F.col("codes"), x["pos"], F.col("size")), lambda c: ~c.between(1, 3))) >= LITERAL)
+    return w.withColumn("good", good).withColumn("total", F.when(F.size("words") >= LEAST, F.size("good")).otherwise(0))
+
+
+def _spelled(text: Column) -> Column:
+    """Array of plain words; each character of a script without spaces is one."""
+    return F.transform(words(F.regexp_replace(text, f"({_UNSPACED})", " $1 ")), _plain)
+
+
+def _verbatim(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(item_id, total, size, at, h): windows of plain words of the items that templates can't find."""
+    w = _templates(items, item_col, text_col).where((F.col("total") == 0) | F.col("text").rlike(_UNSPACED)).select("item_id", F.transform(_spelled(F.col("text")), lambda x: F.xxhash64(x)).alias("codes"))
+    w = w.withColumn("size", F.least(F.size("codes"), F.lit(WINDOW))).withColumn("x", _every(F.col("codes"), 1)).withColumn("total", F.size("x"))
+    return w.select("item_id", "total", "size", F.explode("x").alias("x")).select("item_id", "total", "size", F.col("x.pos").alias("at"), "x.h")
+
+
 def _benchmark(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """(item_id, words, size, total, pos, h): windows with enough literal words; total counts their places.
 
     Each place has the window as it stands; with names and units as words, for documents all in one case; and, at the
     start, with the first word as a name, which is how its capital looks in the midst of another sentence.
     """
-    w = items.select(F.col(item_col).alias("item_id"), words(F.col(text_col).cast("string")).alias("words")).where((F.size("words") >= LEAST) & F.col("item_id").isNotNull())
-    w = w.withColumn("size", F.least(F.size("words"), F.lit(WINDOW))).withColumn("codes", _codes(F.col("words")))
+    w = _templates(items, item_col, text_col).where("total > 0")
     plain, named = _codes(F.transform("words", _plain)), F.concat(F.array(F.lit(2).cast("long")), F.slice("codes", 2, F.size("codes")))
-
-    def every(codes: Column) -> Column:
-        return F.coalesce(*[F.when(F.col("size") == k, _windows(codes, k)) for k in range(LEAST, WINDOW + 1)])
-
-    good = F.filter(every(F.col("codes")), lambda x: F.size(F.filter(F.slice(F.col("codes"), x["pos"], F.col("size")), lambda c: ~c.between(1, 3))) >= LITERAL)
-    w = w.withColumn("good", good).withColumn("total", F.size("good")).where("total > 0")
+    every = lambda codes: _every(codes, LEAST)
     ways = F.array_union(F.col("good"), F.array_union(every(plain), F.slice(every(named), 1, 1)))
     places = F.filter(F.array_distinct(ways), lambda x: F.array_contains(F.transform("good", lambda g: g["pos"]), x["pos"]))
     return w.select("item_id", "words", "size", "total", F.explode(places).alias("x")).select("item_id", "words", "size", "total", "x.pos", "x.h")
@@ -84,7 +107,8 @@ def _small(df: DataFrame) -> DataFrame:
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", enough: int = ENOUGH) -> DataFrame:
     """One row per document and item leaked into it: id, ``item_id``, ``windows`` (consistent ones of the item's), ``of`` (the item's), ``verbatim`` (no slot differs).
 
-    Null and empty texts, on either side, match nothing; items without an id aren't searched; documents without an id
+    Null and empty texts, on either side, match nothing; items without an id aren't searched; items that are searched as
+    they stand count windows of plain words; documents without an id
     are reported with a null id; repeated rows are one document. Empty tables give an empty one. Other columns aren't read.
     """
     from strandlake.llm._work import materialise
@@ -129,7 +153,18 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     kept = slots.withColumn("best", F.when(F.size(longest) >= F.size("exact"), longest).otherwise(F.col("exact")))
     verbatim = F.forall("slots", lambda x: x["a"] == x["b"])
     merged = kept.groupBy("id", "row", "item_id", "total").agg(F.size(F.array_distinct(F.flatten(F.collect_list("best")))).alias("windows"), F.every(verbatim).alias("verbatim"))
+    spelled = materialise(_verbatim(items, item_col, item_text_col), "verbatim-windows")
+    sizes = sorted(r[0] for r in spelled.select("size").distinct().collect())  # at most WINDOW values
+    if sizes:
+        plain = slim.select("id", "row", F.transform(_spelled(F.col("text")), lambda x: F.xxhash64(x)).alias("codes"))
+        seen = F.flatten(F.array(*[F.coalesce(_windows(F.col("codes"), k), F.array().cast("array<struct<pos:int,h:bigint>>")) for k in sizes]))
+        alike = plain.select("id", "row", F.explode(seen).alias("x")).select("id", "row", "x.pos", "x.h").join(_small(spelled.drop("size")), "h")
+        aligned = alike.groupBy("id", "row", "item_id", "total", (F.col("pos") - F.col("at")).alias("shift")).agg(F.count_distinct("at").alias("windows"))
+        exact = aligned.groupBy("id", "row", "item_id", "total").agg(F.max("windows").cast("int").alias("windows")).withColumn("verbatim", F.lit(True))
+        merged = merged.unionByName(exact)
     leaked = merged.where(F.col("windows") >= F.least(F.lit(enough), "total"))
+    if sizes:  # an item may be found in both ways
+        leaked = leaked.groupBy("id", "row", "item_id").agg(F.max(F.struct("windows", "total", "verbatim")).alias("x")).select("id", "row", "item_id", "x.*")
     return leaked.select(F.col("id").alias(id_col), "item_id", F.col("windows").cast("long"), F.col("total").cast("long").alias("of"), "verbatim")
 
 

@@ -57,3 +57,14 @@ def test_runs_count_though_the_alignment_conflicts(spark):
     got = {r.doc_id: r for r in D.matches(docs, items).collect()}
     assert set(got) == {1, 2, 3} and not any(r.verbatim for r in got.values())
     assert got[2].windows == got[2]["of"] and got[1].windows < got[1]["of"] and got[3].windows < got[3]["of"]
+
+
+def test_items_that_templates_exclude_are_found_verbatim(spark):
+    items = {
+        1: "12 + 7 * 3 - 4 = 29 and 8 * 9 - 6 = 66", 2: "the Great Wall Of Northern Lights And Seven Other Tales From Old Harbour Towns", 3: "小明有三个苹果,他又买了五个苹果,现在一共有几个苹果?", 4: "What is osmosis?",
+        5: "นักเรียนมีหนังสือสามเล่มและซื้อเพิ่มอีกสองเล่ม", 6: "photosynthesis",
+    }
+    texts = [(k, f"before, {t} after all") for k, t in items.items()] + [(13, f"这里写着:老师说{items[3]}大家想一想"), (20, "12 + 7 and 8 * 9; what is life, osmosis is; 小明有苹果; Great Wall"), (None, "so " + items[4]), (21, None), (22, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in D.matches(docs, spark.createDataFrame([*items.items(), (7, None), (8, ""), (None, "before after")], "item_id long, text string")).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [*((k, k) for k in items), (13, 3), (None, 4)]))
