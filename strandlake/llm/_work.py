@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -10,13 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
-    there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster names in ``spark.checkpoint.dir``. A local session without it gets one of its own; on a
+    cluster, where no folder of this machine would do, its lack is an error."""
+    context = spark.sparkContext
+    there = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not there:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        there = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="strandlake-")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(there)
+        current = context._jsc.sc().getCheckpointDir()
+        if current.isDefined():
+            there = current.get()
+        elif re.fullmatch(r"local(\[.*\])?", context.master):
+            there = tempfile.mkdtemp(prefix="strandlake-")
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(there)
     return there
 
 

@@ -15,12 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm import bpe
-from strandlake.llm._work import materialise
+from strandlake.llm._work import materialise, scratch
+from strandlake.llm.tokens import slices
 
 MAGIC, HEAD, BLOCK, PERCENTILE = b"SLPFOR1\n", struct.Struct("<8sQQQ"), 256, 0.95
 #: Ids after which a file is closed, at the next end of a document.
@@ -121,64 +123,89 @@ def read_ids(data: bytes, start: int, stop: int) -> np.ndarray:
     return part[start - a * BLOCK : stop - a * BLOCK]
 
 
-def write_files(docs: DataFrame, path: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(part, seq, before, n_tokens, data): files in ascending id order, as rows of a table in the shared folder.
+def write_files(docs: DataFrame, path: str, folder: str | None = None, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write files in ascending id order below ``folder`` (a fresh one of the shared folder) and return their manifest:
+    (part, seq, before, n_tokens, name). ``before`` is the tokens of earlier files of the same part.
 
-    Files are rows so that Spark's commit holds for them: a task that runs twice or on a lost executor leaves nothing
-    behind, and no store but the table's is needed. ``before`` is the tokens of earlier files of the same part.
+    Files carry the attempt's number in their names and the manifest is a table that Spark commits, so a task that runs
+    twice or on a lost executor adds no file to it; what such a task left is never read. The folder must be in a store
+    that pyarrow opens (local and shared disks, HDFS, S3, GCS).
     """
+    spark = docs.sparkSession
+    folder = folder or scratch(spark, "token-files")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, seq, before = bpe.load(path), TaskContext.get().partitionId(), 0, 0
-        end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+        context = TaskContext.get()
+        coder, part, seq, before = bpe.load(path), context.partitionId(), 0, 0
+        store, root = pa.fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
         docs, sizes, data, held = [], [], [], 0
 
         def close():
-            ids = np.frombuffer(b"".join(data), "<u4")
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before]), pa.array([len(ids)]), pa.array([write_bytes(docs, sizes, ids)], pa.binary())], names=["part", "seq", "before", "n_tokens", "data"])
+            nonlocal docs, sizes, data, held, seq, before
+            name = f"tokens-{part:06d}-{seq:06d}-{context.taskAttemptId()}.pfor"
+            with store.open_output_stream(f"{root}/{name}") as f:
+                f.write(write_bytes(docs, sizes, np.concatenate(data)))
+            row = [part, seq, before, held, name]
+            docs, sizes, data, seq, before, held = [], [], [], seq + 1, before + held, 0
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["part", "seq", "before", "n_tokens", "name"])
 
         for batch in batches:
-            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                one = coder.encode_bytes(text.as_py()) + end
-                docs.append(ident)
-                sizes.append(len(one) // 4)
-                data.append(one)
-                held += len(one) // 4
-                if held >= FILE_IDS:
-                    yield close()
-                    seq, before = seq + 1, before + held
-                    docs, sizes, data, held = [], [], [], 0
+            for few in slices(batch, 1):
+                ids, count = coder.encode_column(few.column(1))
+                ends, known = np.cumsum(count), few.column(0).to_pylist()
+                if end_id is not None:
+                    ids, count = np.insert(ids, ends, end_id), count + 1
+                    ends += np.arange(1, len(ends) + 1)
+                # Cut after each document with which a file is full.
+                start = 0
+                while start < len(known):
+                    at = int(ends[start - 1]) if start else 0
+                    stop = min(len(known), int(np.searchsorted(ends, at + max(1, FILE_IDS - held))) + 1)
+                    docs += known[start:stop]
+                    sizes += count[start:stop].tolist()
+                    data.append(ids[at : int(ends[stop - 1])].astype(np.uint32))
+                    held += len(data[-1])
+                    start = stop
+                    if held >= FILE_IDS:
+                        yield close()
         if docs:
             yield close()
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = slim.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
-    return materialise(ordered.mapInArrow(run, "part int, seq int, before long, n_tokens long, data binary"), "token-files")
+    order = (F.col("id").asc_nulls_first(), F.xxhash64("text"))  # the hash divides what one id or null holds
+    ordered = slim.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialise(ordered.mapInArrow(run, "part int, seq int, before long, n_tokens long, name string"), "manifest").withColumn("folder", F.lit(folder))
 
 
-def read_files(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of every document, from the files' bytes."""
+def read_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, start, n_tokens, ids_crc32) of every document, from the bytes of the manifest's files."""
     at, starts = 0, {}
-    for part, n in sorted(files.groupBy("part").agg(F.sum("n_tokens")).collect()):  # one row for each write task
+    for part, n in sorted(manifest.groupBy("part").agg(F.sum("n_tokens")).collect()):  # one row for each write task
         starts[part], at = at, at + n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, before, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                docs, sizes, ids = read_bytes(data.as_py())
+            for part, before, name, folder in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store, root = pa.fs.FileSystem.from_uri(folder)
+                with store.open_input_file(f"{root}/{name}") as f:
+                    docs, sizes, ids = read_bytes(f.read())
                 ends = np.cumsum(sizes, dtype=np.int64)
                 raw, begin = memoryview(ids.astype("<u4").tobytes()), ends - sizes
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(begin + (starts[part] + before)), pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("part", "before", "data").mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
+    # Names are short, so the manifest is few splits; its rows are dealt out so that files are read in parallel.
+    rows = manifest.select("part", "before", "name", "folder")
+    dealt = rows.repartition(min(max(1, rows.count()), manifest.sparkSession.sparkContext.defaultParallelism * 4))
+    return dealt.mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
-def token_files(docs: DataFrame, path: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_files(docs: DataFrame, path: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """Encode all texts, write them as files and read the files back: one row per input row, in ascending id order of
     ``start`` (nulls first; repeated ids in an order fixed by their texts).
 
     A null or empty text has just the end id. An empty table writes and returns nothing. Other columns aren't read; ids
     are integers.
     """
-    return read_files(write_files(docs, path, end_id, id_col, text_col), id_col)
+    return read_files(write_files(docs, path, folder, end_id, id_col, text_col), id_col)

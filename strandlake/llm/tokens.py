@@ -2,31 +2,41 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm import bpe
 
-#: Rows handled at a time within an Arrow batch, so that Python strings of one batch don't pile up.
-SLICE = 256
+#: Bytes of text handled at a time within an Arrow batch, so that Python strings of one batch don't pile up.
+SLICE_BYTES = 4_000_000
 
 
-def _mapped(docs: DataFrame, id_col: str, text_col: str, fields: str, row) -> DataFrame:
-    """id and what ``row`` makes of each text, streamed over Arrow batches."""
+def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``SLICE_BYTES`` of the column at that place; a longer text is a part of its own."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(at)), 0).cast(pa.int64())).to_numpy()
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def _mapped(docs: DataFrame, id_col: str, text_col: str, fields: str, rows_of) -> DataFrame:
+    """id and what ``rows_of`` makes of the texts, streamed over Arrow batches."""
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     names = [x.split()[0] for x in fields.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                rows = [row(t) for t in part.column(1).to_pylist()]
-                columns = list(zip(*rows, strict=True))
+            for part in slices(batch, 1):
+                columns = list(zip(*rows_of(part.column(1)), strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, columns)], names=["id", *names])
 
     return out.mapInArrow(run, f"id {kind}, {fields}").withColumnRenamed("id", id_col)
@@ -40,19 +50,20 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     decodes to the empty text. A null id stays null. Other columns aren't read. An empty table gives an empty one.
     """
 
-    def row(text):
+    def rows_of(texts):
         coder = bpe.load(path)
-        data = coder.encode_bytes(text)
-        back = coder.decode(bpe.np.frombuffer(data, "<u4"))
-        out = [len(data) // 4, bpe.sha256(data), bpe.sha256(back)]
-        if keep_ids:
-            out.append(bpe.np.frombuffer(data, "<u4").astype("int32"))
-        if keep_text:
-            out.append(back.decode("utf-8", "replace"))
-        return out
+        ids, count = coder.encode_column(texts)
+        ends, raw = np.cumsum(count).tolist(), memoryview(ids.tobytes())
+        for a, b, back in zip([0, *ends], ends, coder.decode_all(ids, count), strict=False):
+            out = [b - a, bpe.sha256(raw[4 * a : 4 * b]), bpe.sha256(back)]
+            if keep_ids:
+                out.append(ids[a:b].astype("int32"))
+            if keep_text:
+                out.append(back.decode("utf-8", "replace"))
+            yield out
 
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
-    return _mapped(docs, id_col, text_col, fields, row)
+    return _mapped(docs, id_col, text_col, fields, rows_of)
 
 
 def round_trip(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "text") -> DataFrame:
@@ -63,9 +74,9 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", out_col: str
     def run(batches):
         coder = bpe.load(path)
         for batch in batches:
-            for i in range(0, batch.num_rows, SLICE):
-                part = batch.slice(i, SLICE)
-                back = [None if t is None else coder.decode(coder.encode(t)).decode("utf-8", "replace") for t in part.column(at).to_pylist()]
+            for part in slices(batch, at):
+                texts = part.column(at)
+                back = [t.decode("utf-8", "replace") if t_is else None for t, t_is in zip(coder.decode_all(*coder.encode_column(texts)), texts.is_valid().to_pylist(), strict=True)]
                 columns = dict(zip(part.schema.names, part.columns, strict=True)) | {out_col: pa.array(back, pa.string())}
                 yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema.fields], names=[f.name for f in schema.fields])
 
@@ -83,21 +94,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
     texts have 0 and 0. A null id stays null. Strings of special tokens count as one token each.
     """
 
-    def row(text):
-        coder = bpe.load(path)
-        text = text or ""
-        n = 0
-        for part, special in coder.segments(text):
-            if special is not None:
-                n += 1
-            elif part:
-                pieces, mapped = coder.pieces(part)
-                frequencies = Counter(pieces)
-                if mapped:
-                    n += sum(k * len(coder.encode_piece(p)) for p, k in frequencies.items())
-                else:
-                    table = coder.count_of
-                    n += sum(k * table[p] for p, k in frequencies.items())
-        return len(text.encode("utf-8", "surrogatepass")), n, n > limit
-
-    return _mapped(docs, id_col, text_col, "n_bytes long, n_tokens long, over_limit boolean", row)
+    def rows_of(texts):
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        for size, n in zip(sizes, bpe.load(path).count_all(texts.to_pylist()), strict=True):
+            yield size, n, n > limit
+
+    return _mapped(docs, id_col, text_col, "n_bytes long, n_tokens long, over_limit boolean", rows_of)

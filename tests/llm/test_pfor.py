@@ -45,3 +45,18 @@ def test_awkward(awkward, nothing, monkeypatch, file_ids):
         at += len(ids)
     assert got == want
     assert pfor.token_files(nothing, WORD).count() == 0
+
+
+def test_files_lie_in_the_folder_and_open_by_path(spark, awkward, tmp_path):
+    manifest = pfor.write_files(awkward, WORD, str(tmp_path / "out")).collect()
+    library, texts = Tokenizer.from_file(WORD), {}
+    for r in manifest:
+        docs, sizes, ids = pfor.read_bytes((tmp_path / "out" / r.name).read_bytes())
+        assert len(ids) == r.n_tokens == sizes.sum()
+        for d, end, n in zip(docs, np.cumsum(sizes), sizes, strict=True):
+            texts.setdefault(d, []).append(ids[end - n : end].tolist())
+    want = {}
+    for i, t, *_ in AWKWARD:
+        want.setdefault(i, []).append([*library.encode(t or "", add_special_tokens=False).ids, 1])
+    assert {k: sorted(v) for k, v in texts.items()} == {k: sorted(v) for k, v in want.items()}
+    assert {r.name for r in manifest} == {f.name for f in (tmp_path / "out").iterdir() if f.suffix == ".pfor"}

@@ -30,9 +30,25 @@ def test_backtracking_needs_more_than_greedy_matches():
         assert ours.encode(word).tolist() == library.encode(word, add_special_tokens=False).ids
 
 
-def test_tables_age_without_changing_results(monkeypatch):
-    small = bpe._Table(lambda x: x * 2, room=3)
-    assert [small[i % 7] for i in range(100)] == [i % 7 * 2 for i in range(100)] and len(small) <= 3
+def test_tables_age_without_changing_results():
+    small = bpe._Table(room=3)
+    made = [small.all_of({str(i % 7), str(i % 5)}, lambda keys: [k * 2 for k in keys]) for i in range(100)]
+    assert all(m == {k: k * 2 for k in m} for m in made) and [set(m) for m in made] == [{str(i % 7), str(i % 5)} for i in range(100)]
+    assert len(small.young) <= 3 and len(small.old) <= 3
+    long = "x" * (bpe.KEPT_LETTERS + 1)
+    assert small.all_of({long}, lambda keys: [1]) == {long: 1} and long not in small.young
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_columns_and_counts_are_those_of_single_texts(path):
+    coder, library, rng = bpe.Bpe(path), Tokenizer.from_file(path), random.Random(4)
+    parts = ["abc", " ", "  ", "\n", "don't", "12.5", "é", "İ", "\x1c", "\x85", "中", "<|endoftext|>", "Wörter,", "thonti", "q" * 60, "(x)"]
+    texts = [None, "", " "] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    ids, count = coder.encode_column(bpe.pa.array(texts))
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and count.tolist() == [len(w) for w in want] == list(coder.count_all(texts))
+    assert [b.decode() for b in coder.decode_all(ids, count)] == [library.decode(w, skip_special_tokens=False) for w in want]
+    assert coder.encode_column(bpe.pa.array([], bpe.pa.string()))[1].tolist() == []
 
 
 def test_encode_decode_awkward(awkward, nothing):
