@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.tokens import slices
+
 DIMENSIONS = 4096
-#: Documents that prototypes are learned from, about; a uniform choice by hash.
+#: Documents that prototypes are learned from, about: an equal number of each language, chosen by hash; all of a language with fewer.
 TRAINING_DOCUMENTS = 20_000
 SLICE = 128
 
@@ -106,14 +108,18 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAINING_DOCUMENTS) -> Prototypes:
-    """Prototypes from documents that aren't held out and have an id, a text and a language, about ``most`` of them.
+    """Prototypes from documents that aren't held out and have an id, a text and a language: about ``most`` of them, in
+    equal shares by language, so that a rare language keeps its prototype however large the table is.
 
     A document's profile is brought to length 1 before it is bundled, so long ones don't outweigh the others. What
-    comes to the driver is one row per language and trigram.
+    comes to the driver is one row per language, and one per language and trigram of the sample.
     """
     known = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col))
-    n = known.count()
-    share = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < int(1e6 * min(1, most / max(n, 1)))
+    sizes = {r[0]: r[1] for r in known.groupBy(F.col(lang_col).cast("string")).count().collect()}  # a row a language
+    each = most / max(1, len(sizes))
+    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, each / n))]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
+    draw = F.xxhash64(F.col(id_col).cast("string")).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    share = draw < shares[F.col(lang_col).cast("string")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,7 +144,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def predicted(docs: DataFrame, model: Prototypes, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """All columns, with the language (`und`: null text or no letters) and its cosine, 0 to 1. Only the text is looked at."""
+    """All columns, with the language (`und`: null text or no letters) and its cosine, 0 to 1. Only the text is looked at.
+
+    An input column that has an output's name is left out in its favour; name the outputs otherwise to keep it.
+    """
     kept = [c for c in docs.columns if c not in (lang_out, score_out)]
     at = kept.index(text_col) if text_col in kept else None
     if at is None:
@@ -148,8 +157,7 @@ def predicted(docs: DataFrame, model: Prototypes, text_col: str = "text", lang_o
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, SLICE):
-                part = batch.slice(i, SLICE)
+            for part in (few.slice(i, SLICE) for few in slices(batch, at) for i in range(0, few.num_rows, SLICE)):
                 langs, scores = shared.value.predict(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores)], names=[*kept, lang_out, score_out])
 

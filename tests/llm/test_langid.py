@@ -33,6 +33,19 @@ def test_awkward(awkward, nothing):
     assert langid.identify(nothing).count() == 0
 
 
+def test_rare_languages_and_huge_tables_are_learned_from(spark, monkeypatch):
+    texts = {"en": "the cat sat on the mat", "de": "der hund und die katze", "qq": "zyx wvu zyx qoph"}
+    rows = [(i, texts["en" if i % 2 else "de"], "en" if i % 2 else "de") for i in range(3000)] + [(5000 + i, texts["qq"], "qq") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.learn(docs, most=30).languages == ["de", "en", "qq"]
+
+
+def test_clashing_output_names(spark):
+    docs = spark.createDataFrame([(1, "the cat", "en", 5.0, "x")], "doc_id long, text string, lang string, score double, lang_pred string")
+    out = langid.predicted(docs, langid.learn(docs))
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and 0 <= out.first().score <= 1
+
+
 def test_table_equals_vectors():
     texts = ["abc abd", "xyz zyx xxy", "abc xyz"]
     docs, keys, n = langid._profiles(*langid._trigrams(texts))
