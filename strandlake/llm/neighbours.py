@@ -6,10 +6,14 @@
    cell all are compared and each point keeps its ``LIST`` nearest.
 3. Rounds: around each point its neighbours, in either direction, meet and are compared (neighbours of neighbours), and
    lists are improved, until few change.
-4. A list whose last entry still is a link is saturated. The links found so far give components; a list is enlarged to
-   the whole component of its point: all members are compared with all others, in blocks, and the links counted.
-5. The audit compares a fixed number of points with all others and repeats 2 and 3 with further hyperplanes while it
-   misses more than ``1 - RECALL`` of their links.
+4. The links found so far give components. A full list whose last entry still is a link is saturated: it is enlarged to
+   the whole component of its point, where all members are compared with all others, in blocks. So are components of at
+   most a block. Elsewhere every list holds all that was found, and its links are counted.
+5. The audit compares a fixed number of points, and as many of those that have links, with all others, and repeats 2 to 4
+   with further hyperplanes while the mean share of a point's links that are found is less than ``RECALL``. Less than
+   ``LEAST_RECALL`` in the end is an error.
+
+Lengths of vectors that few points have are compared all with all, many lengths in one job.
 """
 
 from __future__ import annotations
@@ -30,7 +34,9 @@ CELL, WAYS, LIST, ROUNDS, BLOCK = 256, 6, 10, 4, 512
 #: Neighbours of neighbours are followed along edges of at least this cosine less than the threshold.
 SLACK = 0.2
 #: Points of the audit, what it asks for, and how often lists may be extended for it.
-AUDIT, RECALL, EXTENSIONS = 200, 0.97, 3
+AUDIT, RECALL, LEAST_RECALL, EXTENSIONS = 200, 0.97, 0.9, 3
+#: Points up to which all of one length are compared in one task.
+FEW = 1024
 
 
 def _rows(column: pa.ListArray, width: int) -> np.ndarray:
@@ -217,25 +223,54 @@ def _count_links(threshold: float, width: int):
     return run
 
 
-def _enlarged(points: DataFrame, members: DataFrame, threshold: float, width: int) -> DataFrame:
+def _counted(points: DataFrame, lists: DataFrame, members: DataFrame, threshold: float, width: int) -> DataFrame:
     """(node, links): copies linked to each member of a component, itself and its own copies included."""
-    sizes = materialise(members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).where("blocks > 1"), "component-sizes")
+    near = lists.where(F.col("cos") >= threshold)
+    full = near.groupBy("node").count().where(F.col("count") >= LIST).select("node")
+    sized = members.join(full.withColumn("full", F.lit(1)), "node", "left").groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"), F.max("full").alias("saturated"))
+    sized = materialise(sized, "component-sizes")
+    dense = members.join(sized.where("saturated = 1 or blocks = 1").select("component", "blocks"), "component")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    a = members.join(sizes, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).withColumn("own", own).join(points, "node")
-    kind = points.schema["v"].dataType.simpleString()
+    a = dense.withColumn("own", own).join(points, "node")
     other = a.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = other.select("component", F.least("own", "i").alias("i"), F.greatest("own", "i").alias("j"), F.when(F.col("own") <= F.col("i"), 0).otherwise(1).cast("int").alias("side"), "node", "copies", "v")
     met = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return met.mapInArrow(_count_links(threshold, width), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    enlarged = met.mapInArrow(_count_links(threshold, width), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    loose = members.join(sized.where("saturated is null and blocks > 1").select("component"), "component", "left_semi").select("node")
+    both = near.select("node", "other").union(near.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
+    copies = points.select("node", "copies")
+    seen = both.join(loose, "node", "left_semi").join(copies.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("copies").alias("links"))
+    plain = loose.join(copies, "node").join(seen, "node", "left").select("node", (F.col("copies") + F.coalesce("links", F.lit(0))).alias("links"))
+    return enlarged.unionByName(plain)
+
+
+def _few(threshold: float):
+    """Points sorted by their length, few of each -> (node, links, component), all compared with all of their length."""
+
+    def run(batches):
+        for table in _groups(batches, 1):
+            width, node, copies = (np.asarray(table.column(i)) for i in range(3))
+            vectors = table.column(3).combine_chunks()
+            for a, b in _runs(width):
+                v = _rows(vectors[a:b], int(width[a]))
+                hit = v @ v.T >= threshold
+                np.fill_diagonal(hit, True)
+                i, j = np.nonzero(np.triu(hit, 1))
+                order = np.argsort(node[a:b])  # so that the root is the least id
+                rank = np.argsort(order)
+                forest = Forest(b - a)
+                forest.join(rank[i], rank[j])
+                yield pa.RecordBatch.from_arrays([pa.array(node[a:b]), pa.array(hit @ copies[a:b]), pa.array(node[a:b][order][forest.root[rank]])], names=["node", "links", "component"])
+
+    return run
 
 
-def _audit(points: DataFrame, n: int, width: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """A fixed number of points by hash, and each one's true number of links, from a scan of all."""
-    share = int(1e6 * min(1, AUDIT / max(1, n)))
-    asked = points.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) <= share).limit(4 * AUDIT).select("node", "v").toArrow()
+def _truth(points: DataFrame, asked: DataFrame, width: int, threshold: float) -> dict[int, int]:
+    """True numbers of links of some points, from a scan of all; at most twice ``AUDIT`` are asked for."""
+    asked = asked.limit(2 * AUDIT).toArrow()
     if not asked.num_rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    nodes, q = np.asarray(asked.column(0)), _rows(asked.column(1).combine_chunks(), width)
+        return {}
+    nodes, q = asked.column(0).to_pylist(), _rows(asked.column(1).combine_chunks(), width)
 
     def scan(batches):
         total = np.zeros(len(q), np.int64)
@@ -243,20 +278,20 @@ def _audit(points: DataFrame, n: int, width: int, threshold: float) -> tuple[np.
             total += (_rows(batch.column(1), width) @ q.T >= threshold).T @ np.asarray(batch.column(0))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(q))), pa.array(total)], names=["k", "n"])
 
-    found = points.select("copies", "v").mapInArrow(scan, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    true = np.zeros(len(q), np.int64)
-    true[np.asarray(found.column(0))] = np.asarray(found.column(1))
-    return nodes, true
+    found = points.select("copies", "v").mapInArrow(scan, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    return {nodes[r.k]: r.n for r in found}
+
+
+def _drawn(points: DataFrame, n: int) -> DataFrame:
+    """About ``AUDIT`` of n points by hash."""
+    return points.where(F.xxhash64("node").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53) < min(1.0, AUDIT / max(1, n))).select("node", "v")
 
 
-def _recall(links: DataFrame, nodes: np.ndarray, true: np.ndarray) -> float:
-    got = links.where(F.col("node").isin(nodes.tolist())).toArrow() if len(nodes) else None
-    if got is None:
-        return 1.0
-    have = dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
-    own = np.array([have.get(int(x), 0) for x in nodes])
-    linked = true > 1
-    return float(np.minimum(own, true)[linked].sum() / true[linked].sum()) if linked.any() else 1.0
+def _recall(links: DataFrame, true: dict[int, int]) -> float:
+    """Mean share of links found of the audited points that have any; 1 where none has."""
+    linked = {k: n for k, n in true.items() if n > 1}
+    have = {r.node: r.links for r in links.where(F.col("node").isin(list(linked))).collect()} if linked else {}
+    return float(np.mean([min(have.get(k, 1), n) / n for k, n in linked.items()])) if linked else 1.0
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -271,11 +306,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     parts = []
     slim = vectors.select(F.col(id_col), F.col(vec_col).cast("array<double>").alias("v0")) if vectors.schema[vec_col].dataType.simpleString() not in ("array<float>", "array<double>") else vectors.select(F.col(id_col), F.col(vec_col).alias("v0"))
     everything = materialise(points_of(slim, id_col, "v0"), "points")
-    widths = everything.groupBy(F.size("v").alias("w")).count().orderBy("w").limit(1000).collect()
-    for width, n in widths:
+    sizes = materialise(everything.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")), "widths")
+    few = everything.withColumn("w", F.size("v")).join(sizes.where(F.col("n") <= FEW).select("w"), "w", "left_semi").select("w", "node", "copies", "v")
+    small = few.repartition("w").sortWithinPartitions("w").mapInArrow(_few(threshold), "node long, links long, component long")
+    parts.append(everything.select("v", "node").join(materialise(small, "few"), "node").select("v", "links", "component"))
+    # Lengths with more points; each goes through the rounds on its own.
+    for width, n in sizes.where(F.col("n") > FEW).orderBy("w").collect():
         points = everything.where(F.size("v") == width)
         floor = threshold - SLACK
-        nodes, true = _audit(points, n, width, threshold)
+        true = _truth(points, _drawn(points, n), width, threshold)
         lists = bridges = None
         for k in range(1 + EXTENSIONS):
             cells = _cells(points, n, width, range(k * WAYS, (k + 1) * WAYS))
@@ -292,18 +331,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
                     break
                 total = now
             members = materialise(connected_components(lists.where(F.col("cos") >= threshold).select("node", "other").union(bridges), "node", "other"), "members")
-            links = materialise(_enlarged(points, members, threshold, width), "links")
-            if _recall(links, nodes, true) >= RECALL:
+            links = materialise(_counted(points, lists, members, threshold, width), "links")
+            if k == 0:  # a uniform choice may hit no linked point at all
+                linked = points.join(links, "node", "left_semi")
+                true |= _truth(points, _drawn(linked, links.count()), width, threshold)
+            recall = _recall(links, true)
+            if recall >= RECALL:
                 break
+        if recall < LEAST_RECALL:
+            raise RuntimeError(f"only {recall:.2f} of the audited links of vectors of length {width} were found")
         parts.append(points.select("v", "node", "copies").join(links.join(members, "node"), "node", "left").select("v", F.coalesce("links", "copies").alias("links"), F.coalesce("component", "node").alias("component")))
     rows = slim.withColumnRenamed(id_col, "id")
-    if not parts:
-        found = rows.withColumn("links", F.lit(1).cast("long")).withColumn("component", F.col("id").cast("long"))
-    else:
-        table = parts[0]
-        for p in parts[1:]:
-            table = table.union(p)
-        table = materialise(table.select(F.col("v").alias("v0"), "links", "component", F.lit(True).alias("in")), "classes")
-        found = rows.join(table, "v0", "left").withColumn("in", F.col("in") & F.col("id").isNotNull())
-        found = found.select("id", F.when(F.col("in"), F.col("links")).otherwise(1).cast("long").alias("links"), F.when(F.col("in"), F.col("component")).otherwise(F.col("id").cast("long")).alias("component"))
+    table = parts[0]
+    for p in parts[1:]:
+        table = table.union(p)
+    table = materialise(table.select(F.col("v").alias("v0"), "links", "component", F.lit(True).alias("in")), "classes")
+    found = rows.join(table, "v0", "left").withColumn("in", F.col("in") & F.col("id").isNotNull())
+    found = found.select("id", F.when(F.col("in"), F.col("links")).otherwise(1).cast("long").alias("links"), F.when(F.col("in"), F.col("component")).otherwise(F.col("id").cast("long")).alias("component"))
     return found.select(F.col("id").cast(kind).alias(id_col), (F.col("links") - 1).alias("n_links"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))

@@ -57,3 +57,37 @@ def test_awkward(spark):
     got = sorted(((r.vec_id if r.vec_id is not None else -1), r.n_links, r.component_id, r.kept) for r in neighbours.near_duplicates(df).collect())
     assert got == [(-1, 0, None, None), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True), (8, 0, 8, True), (9, 1, 9, True), (9, 1, 9, True), (10, 0, 10, True), (11, 2, 1, False)]
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_a_low_recall_is_an_error(spark, clusters, monkeypatch):
+    monkeypatch.setattr(neighbours, "_recall", lambda *_: 0.5)
+    monkeypatch.setattr(neighbours, "EXTENSIONS", 0)
+    df = spark.createDataFrame([(i, v) for i, v in clusters.items()], "vec_id long, embedding array<float>")
+    with pytest.raises(RuntimeError, match="0.50"):
+        neighbours.near_duplicates(df)
+
+
+def test_more_lengths_than_a_thousand(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for w in range(1, 1102):
+        x = rng.standard_normal(w)
+        rows += [(3 * w, x.tolist()), (3 * w + 1, (2 * x).tolist()), (3 * w + 2, (-x).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(df).collect()}
+    assert got == {i: (0, i) if i % 3 == 2 else (1, 3 * (i // 3)) for i, _ in rows}
+
+
+def test_unsaturated_lists_count_as_saturated_ones_do(spark, monkeypatch):
+    """Rings whose points link to the next ones only: components larger than a block without a full list."""
+    monkeypatch.setattr(neighbours, "BLOCK", 4)
+    monkeypatch.setattr(neighbours, "FEW", 0)
+    rings = {}
+    for r in range(6):
+        for k in range(18):
+            v = [0.0] * 12
+            v[2 * r], v[2 * r + 1] = float(np.cos(np.pi * k / 9)), float(np.sin(np.pi * k / 9))
+            rings[len(rings)] = v
+    df = spark.createDataFrame(list(rings.items()), "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(df).collect()}
+    assert got == brute(rings) and {n for n, _ in got.values()} == {2}
