@@ -209,6 +209,24 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return found.join(classes, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id").cast(docs.schema[id_col].dataType).alias("component_id"))
 
 
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
+    """One row of each group of near-duplicates, columns as they are: the row of the least id, rows without an id last.
+
+    It goes by rows: rows that repeat an id are kept or dropped by their own texts, exact repeats leave one row, and rows
+    without an id count as documents. Rows tied on the id are told apart by their hash; whole equal rows leave one.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marked = materialise(docs.select(F.struct(*columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("n", F.monotonically_increasing_id()), "rows")
+    found = materialise(fingerprints(marked, "n", "text"), "fingerprints")
+    points = materialise(found.groupBy("fp").agg(F.min("id").alias("node")), "points")
+    nodes = connected_components(hamming_links(points, radius))
+    classes = points.join(nodes, "node", "left").select("fp", F.coalesce("component", "node").alias("class"))
+    ranked = materialise(found.select(F.col("id").alias("n"), "fp").join(classes, "fp").join(marked.select("n", "id", F.xxhash64("row").alias("hash")), "n").select("n", "class", F.struct(F.col("id").isNull().alias("no_id"), "id", "hash", "n").alias("place")), "places")
+    best = ranked.groupBy("class").agg(F.min("place").alias("best"))
+    copies = ranked.join(best, "class").where(F.col("place.n") != F.col("best.n")).select("n")
+    return marked.join(materialise(copies, "copies"), "n", "left_anti").select("row.*")
+
+
 def overlap_share(fp: np.ndarray, radius: int = 4) -> float:
     """Share of points whose ball crosses the median shell of a vantage point over all 64 bits."""
     d = _near(fp, fp[0]).astype(int)

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 from strandlake.llm import simhash
+from strandlake.llm import simhash as S
 from strandlake.llm.components import connected_components
 
 from .conftest import AWKWARD
@@ -107,3 +108,16 @@ def test_components(spark):
                 change = True
     assert got == root
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_first_of_groups_goes_by_rows(spark, nothing):
+    far = "entirely other words about the sea and ships that pass by night under stars"
+    texts = [(7, "a b c d e f g"), (7, "a b c d e f g"), (3, "a b c d e f g"), (7, far), (None, "a b c d e f g"), (None, "no id and no copy of anything in this table at all"), (9, None), (8, ""), (2, far + " x" * 0)]
+    docs = spark.createDataFrame([(i, t, "n") for i, t in texts], "doc_id long, text string, n string")
+    out = S.first_of_groups(docs)
+    assert out.columns == docs.columns
+    got = sorted(map(str, ((r.doc_id, r.text) for r in out.collect())))
+    assert got == sorted(map(str, [(3, "a b c d e f g"), (2, far), (None, texts[5][1]), (8, "")]))
+    only = spark.createDataFrame([(7, "a b c d e f g", "n"), (3, "a b c d e f g", "n"), (7, far, "n")], docs.schema)
+    assert sorted(r.text for r in S.first_of_groups(only).collect()) == sorted(["a b c d e f g", far])
+    assert S.first_of_groups(nothing).count() == 0
