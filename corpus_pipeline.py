@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import decontaminate, langid, secrets, simhash, tokens
-from strandlake.llm._work import materialise, scratch
+from strandlake.llm._work import discard, scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,9 +15,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each SimHash group, that of the least id; documents without an id stay."""
-    groups = simhash.simhash_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(materialise(groups, "copies"), F.col("doc_id") == F.col("__copy"), "left_anti")
+    """Keep one row of each SimHash group, that of the least id (rows without an id come last). Rows count one by one: of
+    rows with one id only those go whose own text is a copy."""
+    return simhash.first_of_groups(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         path = scratch(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
+        if k:
+            discard(spark, docs)  # what the stage before wrote; nothing reads it any more
         docs = spark.read.parquet(path)
     return docs
