@@ -106,6 +106,13 @@ def rank_code(rank: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])[rank], F.lit("-"))
 
 
+def fixed_format(x: Column, decimals: int, width: int = 0) -> Column:
+    """A double with that many decimals, as C prints it: exact halves go to the even digit."""
+    scaled = x * float(1 << (decimals + 1))
+    half = (scaled == F.floor(scaled)) & (F.pmod(scaled, F.lit(2.0)) == 1)
+    return F.format_string(f"%{width or ''}.{decimals}f", F.when(half, F.bround(x, decimals)).otherwise(x))
+
+
 def general_format(x: Column, digits: int) -> Column:
     """A double with that many significant digits and no trailing zeros, for text output."""
     plain = F.format_string(f"%.{digits}g", x)

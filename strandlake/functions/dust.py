@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,21 +11,32 @@ WINDOW, LEVEL = 64, 20
 
 
 def _mask(seq: str, window: int = WINDOW, level: int = LEVEL) -> str:
-    """Lower-case every interval of up to ``window`` bases whose triplets repeat beyond ``level`` tenths a place, and which no part of outscores."""
+    """Lower-case every perfect interval of up to ``window`` bases: one whose triplets repeat beyond ``level`` tenths a place,
+    and which no interval inside it outscores.
+
+    Intervals grow by one triplet at a time, all starts together: pairs of equal triplets add up, and the best score inside
+    an interval is the larger of its own and those of the two intervals that are one shorter.
+    """
     s = seq.upper()
-    triplets = [s[i : i + 3] for i in range(len(s) - 2)]
-    masked = bytearray(len(s))
-    for start in range(len(triplets)):
-        seen: dict[str, int] = {}
-        score, best, end = 0, 0.0, -1
-        for n, t in enumerate(triplets[start : start + window - 2], 1):
-            score += seen.get(t, 0)
-            seen[t] = seen.get(t, 0) + 1
-            if n > 1 and 10 * score > level * (n - 1) and score / (n - 1) >= best:
-                best, end = score / (n - 1), start + n + 2
-        if end > 0:
-            masked[start:end] = b"\1" * (end - start)
-    return "".join(c.lower() if m else c for c, m in zip(s, masked, strict=True))
+    letters = np.frombuffer(s.encode("utf-32-le"), "<u4").astype(np.int64)
+    n = len(letters) - 2
+    masked = np.zeros(len(letters) + 1, np.int64)
+    if n > 1:
+        triplet = letters[:-2] << 42 | letters[1:-1] << 21 | letters[2:]
+        pairs, best, alike = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64)
+        for length in range(2, min(window - 2, n) + 1):
+            # alike[j]: equals of triplet j among the length - 1 before it.
+            alike[length - 1 :] += triplet[length - 1 :] == triplet[: n - length + 1]
+            starts = n - length + 1
+            pairs[:starts] += alike[length - 1 :]
+            score = pairs[:starts] / (length - 1)
+            inner = np.maximum(best[:starts], best[1 : starts + 1])
+            perfect = np.flatnonzero((10 * pairs[:starts] > level * (length - 1)) & (score >= inner))
+            best[:starts] = np.maximum(score, inner)
+            np.add.at(masked, perfect, 1)
+            np.add.at(masked, perfect + length + 2, -1)
+    inside = np.cumsum(masked)[:-1] > 0
+    return "".join(c.lower() if m else c for c, m in zip(s, inside.tolist(), strict=True))
 
 
 def dust(seq: Column) -> Column:

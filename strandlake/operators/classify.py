@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import dna
@@ -19,16 +19,27 @@ def merge_databases(tables: list[DataFrame]) -> DataFrame:
     return every.groupBy("kmer").agg(F.min_by("taxon", "prio").alias("taxon"))
 
 
-def lookup(reads: DataFrame, table: DataFrame, k: int, lo: int | None = None, hi: int | None = None, m: int = 0) -> DataFrame:
-    """(read_id, pos, canon, ambig, taxon) for every window; taxon 0 where the table lacks the k-mer or it is ambiguous.
+def _key(use: Column) -> Column:
+    """The k-mer to look up. What isn't looked up gets one of many keys that no table has: a null or one key for all would
+    send these windows to one partition of a shuffled join."""
+    return F.when(use, F.col("canon")).otherwise(F.concat(F.lit("!"), F.pmod(F.xxhash64("pos", "canon"), F.lit(8192)).cast("string")))
 
-    Ambiguous windows carry a null key, so they never travel to the join's match side. With lo and hi only k-mers of these
-    minimizer bins are looked up. How the table is joined is the planner's choice by its size; no hint is given.
+
+def with_records(reads: DataFrame, out: str = "record") -> DataFrame:
+    """Reads with a key of their own, for sources whose ids repeat; the source must give its rows in a fixed order, as files do."""
+    return reads.withColumn(out, F.monotonically_increasing_id())
+
+
+def lookup(reads: DataFrame, table: DataFrame, k: int, lo: int | None = None, hi: int | None = None, m: int = 0, key: str = "read_id") -> DataFrame:
+    """(key, pos, canon, ambig, taxon) for every window; taxon 0 where the table lacks the k-mer or it is ambiguous.
+
+    With lo and hi only k-mers of these minimizer bins are looked up. How the table is joined is the planner's choice by
+    its size; no hint is given. ``key`` names the column that tells reads apart.
     """
-    windows = dna.with_kmers(reads, k)
+    windows = dna.with_kmers(reads, k, keep=(key,))
     use = ~F.col("ambig") if lo is None else ~F.col("ambig") & dna.minimizer(F.col("canon"), k, m).between(lo, hi)
-    keyed = windows.withColumn("kmer", F.when(use, F.col("canon")))
-    return keyed.join(table.select("kmer", "taxon"), "kmer", "left").select("read_id", "pos", "canon", "ambig", F.coalesce("taxon", F.lit(0)).cast("bigint").alias("taxon"))
+    keyed = windows.withColumn("kmer", _key(use))
+    return keyed.join(table.select("kmer", "taxon"), "kmer", "left").select(key, "pos", "canon", "ambig", F.coalesce("taxon", F.lit(0)).cast("bigint").alias("taxon"))
 
 
 def lookup_in_chunks(reads: DataFrame, table: DataFrame, bounds: list[tuple[int, int]], k: int, m: int) -> DataFrame:
@@ -38,22 +49,22 @@ def lookup_in_chunks(reads: DataFrame, table: DataFrame, bounds: list[tuple[int,
     return reduce(DataFrame.unionByName, parts).groupBy("read_id", "pos", "canon", "ambig").agg(F.max("taxon").alias("taxon"))
 
 
-def stop_at_hits(hits: DataFrame, min_hits: int) -> DataFrame:
+def stop_at_hits(hits: DataFrame, min_hits: int, key: str = "read_id") -> DataFrame:
     """Quick mode: windows up to the one with the ``min_hits``-th hit, with ``hits`` so far."""
-    so_far = F.sum((F.col("taxon") > 0).cast("bigint")).over(Window.partitionBy("read_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    so_far = F.sum((F.col("taxon") > 0).cast("bigint")).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     counted = hits.withColumn("hits", so_far)
     return counted.where((F.col("hits") < min_hits) | ((F.col("hits") == min_hits) & (F.col("taxon") > 0)))
 
 
-def quick_calls(reads: DataFrame, hits: DataFrame, min_hits: int) -> DataFrame:
-    """(read_id, taxid, hits): the taxon of the deciding hit, else 0."""
-    kept = stop_at_hits(hits, min_hits).groupBy("read_id").agg(F.max("hits").alias("hits"), F.max(F.when(F.col("hits") == min_hits, F.col("taxon"))).alias("call"))
-    return reads.select("read_id").join(kept, "read_id", "left").select("read_id", F.coalesce("call", F.lit(0)).cast("bigint").alias("taxid"), F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"))
+def quick_calls(reads: DataFrame, hits: DataFrame, min_hits: int, key: str = "read_id") -> DataFrame:
+    """(key, taxid, hits): the taxon of the deciding hit, else 0."""
+    kept = stop_at_hits(hits, min_hits, key).groupBy(key).agg(F.max("hits").alias("hits"), F.max(F.when(F.col("hits") == min_hits, F.col("taxon"))).alias("call"))
+    return reads.select(key).join(kept, key, "left").select(key, F.coalesce("call", F.lit(0)).cast("bigint").alias("taxid"), F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"))
 
 
-def hit_counts(hits: DataFrame) -> DataFrame:
-    """(read_id, taxon, n) of taxa hit."""
-    return hits.where("taxon <> 0").groupBy("read_id", "taxon").agg(F.count("*").alias("n"))
+def hit_counts(hits: DataFrame, key: str = "read_id") -> DataFrame:
+    """(key, taxon, n) of taxa hit."""
+    return hits.where("taxon <> 0").groupBy(key, "taxon").agg(F.count("*").alias("n"))
 
 
 def _top_end(tied):
@@ -61,18 +72,18 @@ def _top_end(tied):
     return common_prefix_end(F.array_min(tied), F.array_max(tied))
 
 
-def vote(reads: DataFrame, counts: DataFrame, tree: DataFrame) -> DataFrame:
-    """(read_id, taxid, score): each taxon scores the hits on it and its ancestors; the best wins, ties go to their LCA.
+def vote(reads: DataFrame, counts: DataFrame, tree: DataFrame, key: str = "read_id") -> DataFrame:
+    """(key, taxid, score): each taxon scores the hits on it and its ancestors; the best wins, ties go to their LCA.
 
     A read hits few taxa, so its vote is an expression over one array; nothing is shuffled beyond gathering it.
     """
     paths = counts.join(tree.select(F.col("taxid").alias("taxon"), "path"), "taxon")
-    per_read = paths.groupBy("read_id").agg(F.collect_list(F.struct("taxon", "n", "path")).alias("h"))
+    per_read = paths.groupBy(key).agg(F.collect_list(F.struct("taxon", "n", "path")).alias("h"))
     total = lambda t: F.aggregate("h", F.lit(0).cast("bigint"), lambda s, u: s + F.when(F.array_contains(t["path"], u["taxon"]), u["n"]).otherwise(0))
     scored = per_read.withColumn("s", F.transform("h", lambda t: F.struct(total(t).alias("score"), t["path"].alias("path")))).withColumn("best", F.array_max(F.transform("s", lambda x: x["score"])))
     tied = F.transform(F.filter("s", lambda x: x["score"] == F.col("best")), lambda x: x["path"])
-    calls = scored.select("read_id", _top_end(tied).alias("call"), "best")
-    return reads.select("read_id").join(calls, "read_id", "left").select("read_id", F.coalesce("call", F.lit(0)).cast("bigint").alias("taxid"), F.coalesce("best", F.lit(0)).cast("bigint").alias("score"))
+    calls = scored.select(key, _top_end(tied).alias("call"), "best")
+    return reads.select(key).join(calls, key, "left").select(key, F.coalesce("call", F.lit(0)).cast("bigint").alias("taxid"), F.coalesce("best", F.lit(0)).cast("bigint").alias("score"))
 
 
 def set_votes(reads: DataFrame, sets: DataFrame, tree: DataFrame, k: int) -> DataFrame:
@@ -86,14 +97,14 @@ def set_votes(reads: DataFrame, sets: DataFrame, tree: DataFrame, k: int) -> Dat
     return reads.select("read_id").join(calls, "read_id", "left").select("read_id", F.coalesce("call", F.lit(0)).cast("bigint").alias("taxid"))
 
 
-def hitlists(reads: DataFrame, hits: DataFrame) -> DataFrame:
-    """(read_id, hitlist): run lengths of codes in read order, ``A`` for ambiguous windows; ``0:0`` without windows."""
-    read = Window.partitionBy("read_id").orderBy("pos")
+def hitlists(reads: DataFrame, hits: DataFrame, key: str = "read_id") -> DataFrame:
+    """(key, hitlist): run lengths of codes in read order, ``A`` for ambiguous windows; ``0:0`` without windows."""
+    read = Window.partitionBy(key).orderBy("pos")
     coded = hits.withColumn("code", F.when(F.col("ambig"), "A").otherwise(F.col("taxon").cast("string")))
     starts = coded.withColumn("new", F.coalesce((F.lag("code").over(read) != F.col("code")).cast("int"), F.lit(1)))
-    runs = starts.withColumn("run", F.sum("new").over(read.rowsBetween(Window.unboundedPreceding, 0))).groupBy("read_id", "run").agg(F.first("code").alias("code"), F.count("*").alias("n"))
-    text = runs.groupBy("read_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", F.concat_ws(":", "code", "n").alias("t")))), lambda x: x["t"]), " ").alias("hitlist"))
-    return reads.select("read_id").join(text, "read_id", "left").select("read_id", F.coalesce("hitlist", F.lit("0:0")).alias("hitlist"))
+    runs = starts.withColumn("run", F.sum("new").over(read.rowsBetween(Window.unboundedPreceding, 0))).groupBy(key, "run").agg(F.first("code").alias("code"), F.count("*").alias("n"))
+    text = runs.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", F.concat_ws(":", "code", "n").alias("t")))), lambda x: x["t"]), " ").alias("hitlist"))
+    return reads.select(key).join(text, key, "left").select(key, F.coalesce("hitlist", F.lit("0:0")).alias("hitlist"))
 
 
 def decode_hitlist(classified: DataFrame) -> DataFrame:
@@ -116,38 +127,42 @@ def _rendered(codes):
 
 
 def classified_in_one_pass(reads: DataFrame, table: DataFrame, tree: DataFrame, k: int) -> DataFrame:
-    """(read_id, taxid, length, hitlist): after the lookup each read's windows are gathered once, by one shuffle; hit list,
+    """(record, read_id, taxid, length, hitlist) of reads with records: after the lookup each read's windows are gathered once, by one shuffle; hit list,
     counts and vote follow from that array, and the taxonomy's paths join in without moving the reads again."""
-    sized = reads.select("read_id", "seq", F.length("seq").cast("bigint").alias("length"))
-    windows = dna.with_kmers(sized, k, keep=("read_id", "length"))
-    keyed = windows.withColumn("kmer", F.when(~F.col("ambig"), F.col("canon"))).join(table.select("kmer", "taxon"), "kmer", "left")
+    sized = reads.select("record", "read_id", "seq", F.length("seq").cast("bigint").alias("length"))
+    windows = dna.with_kmers(sized, k, keep=("record", "read_id", "length"))
+    keyed = windows.withColumn("kmer", _key(~F.col("ambig"))).join(table.select("kmer", "taxon"), "kmer", "left")
     code = F.when(F.col("ambig"), F.lit(-1)).otherwise(F.coalesce("taxon", F.lit(0))).cast("bigint")
-    gathered = keyed.groupBy("read_id", "length").agg(F.collect_list(F.struct("pos", code.alias("code"))).alias("w"))
+    gathered = keyed.groupBy("record", "read_id", "length").agg(F.collect_list(F.struct("pos", code.alias("code"))).alias("w"))
     codes = F.transform(F.array_sort("w"), lambda x: x["code"])
     taxa = lambda c: F.transform(F.array_distinct(F.filter(c, lambda x: x > 0)), lambda t: F.struct(t.alias("taxon"), F.size(F.filter(c, lambda x: x == t)).cast("bigint").alias("n")))
-    whole = gathered.select("read_id", "length", _let(codes, lambda c: F.struct(_rendered(c).alias("hitlist"), taxa(c).alias("taxa"))).alias("r"))
-    each = whole.select("read_id", "length", "r.hitlist", F.explode_outer("r.taxa").alias("t")).select("read_id", "length", "hitlist", "t.taxon", "t.n")
+    whole = gathered.select("record", "read_id", "length", _let(codes, lambda c: F.struct(_rendered(c).alias("hitlist"), taxa(c).alias("taxa"))).alias("r"))
+    each = whole.select("record", "read_id", "length", "r.hitlist", F.explode_outer("r.taxa").alias("t")).select("record", "read_id", "length", "hitlist", "t.taxon", "t.n")
     paths = each.join(tree.select(F.col("taxid").alias("taxon"), "path"), "taxon", "left")
-    voted = paths.groupBy("read_id", "length").agg(F.first("hitlist").alias("hitlist"), F.collect_list(F.when(F.col("path").isNotNull(), F.struct("taxon", "n", "path"))).alias("h"))
+    voted = paths.groupBy("record", "read_id", "length").agg(F.first("hitlist").alias("hitlist"), F.collect_list(F.when(F.col("path").isNotNull(), F.struct("taxon", "n", "path"))).alias("h"))
     total = lambda h, t: F.aggregate(h, F.lit(0).cast("bigint"), lambda s, u: s + F.when(F.array_contains(t["path"], u["taxon"]), u["n"]).otherwise(0))
     scores = lambda h: F.transform(h, lambda t: F.struct(total(h, t).alias("score"), t["path"].alias("path")))
     top = lambda s: _top_end(F.transform(F.filter(s, lambda x: x["score"] == F.array_max(F.transform(s, lambda y: y["score"]))), lambda x: x["path"]))
     call = F.when(F.size("h") > 0, _let(scores(F.col("h")), top)).otherwise(0).cast("bigint")
-    long = voted.select("read_id", call.alias("taxid"), "length", "hitlist")
-    short = sized.where((F.octet_length("seq") < k) | F.col("seq").isNull()).select("read_id", F.lit(0).cast("bigint").alias("taxid"), F.coalesce("length", F.lit(0)).alias("length"), F.lit("0:0").alias("hitlist"))
+    long = voted.select("record", "read_id", call.alias("taxid"), "length", "hitlist")
+    short = sized.where((F.octet_length("seq") < k) | F.col("seq").isNull()).select("record", "read_id", F.lit(0).cast("bigint").alias("taxid"), F.coalesce("length", F.lit(0)).alias("length"), F.lit("0:0").alias("hitlist"))
     return long.unionByName(short)
 
 
 def classify(reads: DataFrame, tables: list[DataFrame], tree: DataFrame, k: int, quick: bool = False, min_hits: int = 1, only_classified: bool = False, print_sequence: bool = False) -> DataFrame:
-    """Classification rows: status, read_id, taxid, length, hitlist[, seq]."""
+    """Classification rows: status, read_id, taxid, length, hitlist[, seq]; one for each read, also where ids repeat.
+
+    A column ``record`` that tells reads apart is used where the reads have one; else one is made (see ``with_records``).
+    """
     table = merge_databases(tables)
+    reads = reads if "record" in reads.columns else with_records(reads)
     if quick:
-        calls = quick_calls(reads, lookup(reads, table, k), min_hits)
-        rows = reads.select("read_id", F.length("seq").cast("bigint").alias("length")).join(calls.select("read_id", "taxid", F.concat(F.lit("Q:"), F.col("hits").cast("string")).alias("hitlist")), "read_id")
+        calls = quick_calls(reads, lookup(reads, table, k, key="record"), min_hits, "record")
+        rows = reads.select("record", "read_id", F.length("seq").cast("bigint").alias("length")).join(calls.select("record", "taxid", F.concat(F.lit("Q:"), F.col("hits").cast("string")).alias("hitlist")), "record")
     else:
         rows = classified_in_one_pass(reads, table, tree, k)
     if print_sequence:
-        rows = rows.join(reads.select("read_id", "seq"), "read_id")
+        rows = rows.join(reads.select("record", "seq"), "record")
     out = rows.select(F.when(F.col("taxid") != 0, "C").otherwise("U").alias("status"), "read_id", "taxid", "length", "hitlist", *(["seq"] if print_sequence else []))
     return out.where("taxid <> 0") if only_classified else out
 
@@ -162,6 +177,17 @@ def merge_pairs(first: DataFrame, second: DataFrame, check_names: bool = False)
     return both.select("rec_no", F.coalesce("n1", "n2").alias("read_id"), F.concat_ws("N", "s1", "s2").alias("seq"))
 
 
+def in_read_order(rows: DataFrame, reads: DataFrame, key: str = "read_id", order: str = "rec_no") -> DataFrame:
+    """Rows in the order of their reads' numbers, by a range sort."""
+    return rows.join(reads.select(key, order), key).orderBy(order).drop(order)
+
+
+def with_rates(stats: DataFrame, seconds: float) -> DataFrame:
+    """Statistics of a run with thousands of sequences and millions of bases a minute."""
+    minutes = F.lit(float(seconds)) / 60
+    return stats.withColumn("kseq_per_min", F.col("sequences") / 1e3 / minutes).withColumn("mbp_per_min", F.col("bases") / 1e6 / minutes)
+
+
 def run_stats(reads: DataFrame, calls: DataFrame) -> DataFrame:
     both = reads.select("read_id", F.length("seq").alias("l")).join(calls, "read_id")
     n, c = F.count("*"), F.sum((F.col("taxid") != 0).cast("bigint"))

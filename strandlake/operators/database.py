@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import dna
 from strandlake.operators import tree as T
+from strandlake.operators.ranges import intervals, placed, running
+
+#: Leading bases of a k-mer that deal a table into ranges.
+PREFIX = 6
 
 #: Synthetic vector sequence and plasmid: a k-mer of these always means contamination.
 CONTAMINANTS = (32630, 81077)
@@ -53,6 +59,34 @@ def check_covered(table: DataFrame, kmers: DataFrame) -> DataFrame:
     return kmers.select("kmer").distinct().join(table, "kmer", "left_anti")
 
 
+def require_covered(table: DataFrame, kmers: DataFrame, allow: bool = False) -> int:
+    """The number of distinct k-mers that the table lacks; any is an error unless allowed."""
+    missing = check_covered(table, kmers).count()
+    if missing and not allow:
+        raise ValueError(f"{missing} k-mers are not in the database")
+    return missing
+
+
+def rewrite(table: DataFrame, path: str) -> None:
+    """Replace the database at ``path``, from which the table may be read itself: the new one is written whole beside it first."""
+    spark = table.sparkSession
+    draft, old = f"{path.rstrip('/')}.{uuid.uuid4().hex}", f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    table.write.parquet(draft)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(hadoop(path)):
+        fs.rename(hadoop(path), hadoop(old))
+    if not fs.rename(hadoop(draft), hadoop(path)):
+        raise OSError(f"can't move the new database to {path}")
+    fs.delete(hadoop(old), True)
+    spark.catalog.refreshByPath(path)
+
+
+def sample(table: DataFrame, share: float, seed: int = 0, key: str = "kmer") -> DataFrame:
+    """Each row with probability ``share``, decided by a hash of its key, so it is the same in every run and layout."""
+    return table.where(F.xxhash64(F.col(key), F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53) < share)
+
+
 def taxon_sizes(table: DataFrame) -> DataFrame:
     return table.groupBy("taxon").agg(F.count("*").alias("n_kmers"))
 
@@ -76,20 +110,26 @@ def sorted_by_bin(table: DataFrame, k: int, m: int) -> DataFrame:
 def bin_index(table: DataFrame, k: int, m: int) -> DataFrame:
     """(bin, n, offset): rows of each bin and rows before it."""
     counts = with_bins(table, k, m).groupBy("bin").agg(F.count("*").alias("n"))
-    return counts.select("bin", "n", (F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("offset"))
+    return running(counts, intervals("bin", 0, 4**m - 1), ["bin"], F.col("n"), "offset").select("bin", "n", "offset")
 
 
 def shrink(table: DataFrame, rows: int, offset: int = 1) -> DataFrame:
     """A systematic sample: the table in k-mer order in ``rows`` blocks, the ``offset``-th last row of each."""
-    block = F.ntile(rows).over(Window.orderBy("kmer"))
-    return table.withColumn("block", block).withColumn("back", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("kmer")))).where(F.col("back") == offset).select("kmer", "taxon")
+    total = table.agg(F.count("*").alias("total"))  # one row
+    at = placed(table, F.left("kmer", F.lit(PREFIX)), ["kmer"], "at").crossJoin(F.broadcast(total))
+    small, longer = F.floor(F.col("total") / rows), F.pmod("total", F.lit(rows))
+    # The first ``longer`` blocks have a row more.
+    head = longer * (small + 1)
+    end = F.when(F.col("at") < head, (F.floor(F.col("at") / (small + 1)) + 1) * (small + 1)).otherwise(head + (F.floor((F.col("at") - head) / F.greatest(small, F.lit(1))) + 1) * small)
+    size = F.when(F.col("at") < head, small + 1).otherwise(small)
+    return at.where((F.col("at") == end - offset) & (size >= offset)).select("kmer", "taxon")
 
 
 def chunk_bounds(index: DataFrame, chunks: int) -> DataFrame:
     """(chunk, lo, hi): bin ranges of about equal numbers of k-mers."""
-    total = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    whole = index.agg(F.sum("n").alias("all"))
-    dealt = index.crossJoin(F.broadcast(whole)).withColumn("chunk", F.least(F.floor((F.sum("n").over(total) - 1) * chunks / F.col("all")), F.lit(chunks - 1)).cast("bigint"))  # whole is one row
+    whole = index.agg(F.max(F.col("offset") + F.col("n")).alias("all"))
+    through = F.col("offset") + F.col("n") - 1
+    dealt = index.crossJoin(F.broadcast(whole)).withColumn("chunk", F.least(F.floor(through * chunks / F.col("all")), F.lit(chunks - 1)).cast("bigint"))  # whole is one row
     return dealt.groupBy("chunk").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
 
 
@@ -116,6 +156,21 @@ def usable_sequences(sequences: DataFrame, tree: DataFrame, min_length: int = 0)
     return sequences.where((F.length("seq") > 0) & F.col("taxid").isNotNull() & (F.length("seq") >= min_length)).join(tree.select("taxid"), "taxid", "left_semi")
 
 
+def skipped_sequences(sequences: DataFrame, tree: DataFrame, min_length: int = 0) -> DataFrame:
+    """(reason, n): why sequences aren't used; the first reason that holds counts."""
+    known = sequences.join(tree.select("taxid", F.lit(True).alias("known")), "taxid", "left")
+    length = F.coalesce(F.length("seq"), F.lit(0))
+    reason = F.when(length == 0, "empty").when(F.col("taxid").isNull(), "no taxid").when(F.col("known").isNull(), "taxid not in taxonomy").when(length < min_length, "too short")
+    return known.select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def accession_subset(sequences: DataFrame, accessions: DataFrame, accepted: DataFrame) -> DataFrame:
+    """(accession_version, taxid, and the sequences' other columns): sequences named by an accession with its version that the
+    map gives an accepted taxon. Sequences have ``id``; a version mapped twice to one taxon counts once."""
+    wanted = accessions.where("taxid is not null").join(accepted.select("taxid"), "taxid", "left_semi").select(F.col("accession_version").alias("id"), "taxid").distinct()
+    return sequences.join(wanted, "id").withColumnRenamed("id", "accession_version")
+
+
 def filter_assemblies(summary: DataFrame, level: str | None = None, category: str | None = None, **equal: str) -> DataFrame:
     """Latest assemblies by level, category and any column's value; the first line of an accession."""
     rows = summary.where(F.col("version_status") == "latest")

@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.functions.dna import strip_mate
+from strandlake.functions.dna import fixed_format, strip_mate
 from strandlake.operators.classify import decode_hitlist
-from strandlake.operators.tree import RANKS, at_rank, descendants, lca_pairs, lineages
+from strandlake.operators.tree import RANKS, at_rank, closure, descendants, lca_pairs, lineages
+
+
+def at_ranks(tree: DataFrame, ranks: list[str]) -> DataFrame:
+    """(taxid, at): for each rank the nearest self or ancestor of it, root excluded; else 0. One table of a row a taxon."""
+    ranked = tree.where(F.col("rank").isin(ranks) & (F.col("taxid") != 1)).select(F.col("taxid").alias("ancestor"), F.col("rank").alias("r"))
+    best = closure(tree).join(ranked, "ancestor").groupBy("taxid").agg(*[F.min_by(F.when(F.col("r") == r, F.col("ancestor")), F.when(F.col("r") == r, F.col("dist"))).alias(f"a{i}") for i, r in enumerate(ranks)])
+    return tree.select("taxid").join(best, "taxid", "left").select("taxid", F.array(*[F.coalesce(f"a{i}", F.lit(0)).cast("bigint") for i in range(len(ranks))]).alias("at"))
 
 
 def confidence_filter(classified: DataFrame, tree: DataFrame, threshold: float) -> DataFrame:
@@ -26,6 +33,12 @@ def confidence_filter(classified: DataFrame, tree: DataFrame, threshold: float)
     return steps.select("read_id", F.when(F.col("steps").isNull(), F.col("taxid")).otherwise(F.coalesce(passed["t"], F.lit(1))).cast("bigint").alias("taxid"), F.coalesce(passed["p"], F.try_element_at("steps", F.lit(-1))["p"], F.lit(0.0)).alias("p"))
 
 
+def filter_lines(classified: DataFrame, filtered: DataFrame) -> DataFrame:
+    """(read_id, line): the filter's output as text, the share with three decimals before the hit list."""
+    rows = classified.select("read_id", "length", "hitlist").join(filtered.select("read_id", "taxid", "p"), "read_id")
+    return rows.select("read_id", F.concat_ws("\t", F.when(F.col("taxid") > 0, "C").otherwise("U"), F.col("read_id").cast("string"), F.col("taxid").cast("string"), F.col("length").cast("string"), F.concat(F.lit("P="), fixed_format(F.col("p"), 3)), "hitlist").alias("line"))
+
+
 def translate(classified: DataFrame, tree: DataFrame, style: str = "names") -> DataFrame:
     """(read_id, lineage) of classified reads; the root's lineage is empty, ``root`` where ranks are coded."""
     text = lineages(tree, style)
@@ -54,15 +67,13 @@ def grade(truths: DataFrame, tree: DataFrame, ranks: list[str]) -> DataFrame:
     no rank, so it is incorrect at each.
     """
     order = F.create_map(*[F.lit(x) for i, r in enumerate(RANKS) for x in (r, i)])
-    known = truths.join(tree.select(F.col("taxid").alias("true_taxid")), "true_taxid", "left_semi").join(tree.select("taxid", F.col("rank").alias("called_rank")), "taxid", "left").withColumn("o", F.coalesce(F.try_element_at(order, F.coalesce("called_rank", F.lit("no rank"))), F.lit(0))).persist()  # one row a read, used once a rank
-    out = None
-    for rank in ranks:
-        at = at_rank(tree, rank)
-        one = known.join(at.select(F.col("taxid").alias("true_taxid"), F.col("at_rank").alias("t")), "true_taxid", "left").join(at.select("taxid", F.col("at_rank").alias("c")), "taxid", "left")
-        verdict = F.when(F.col("o") > RANKS.index(rank), "higher_rank").when(F.col("t") == F.coalesce("c", F.lit(0)), "correct").otherwise("incorrect")
-        part = one.select("read_id", F.lit(rank).alias("rank"), verdict.alias("verdict"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    at = at_ranks(tree, ranks)
+    called = at.join(tree.select("taxid", F.coalesce(F.try_element_at(order, F.coalesce("rank", F.lit("no rank"))), F.lit(0)).alias("o")), "taxid").select("taxid", "o", F.col("at").alias("c"))
+    both = truths.join(at.select(F.col("taxid").alias("true_taxid"), F.col("at").alias("t")), "true_taxid").join(called, "taxid", "left")
+    unranked = RANKS.index("no rank")
+    verdict = lambda i, r: F.when(F.coalesce("o", F.lit(unranked)) > RANKS.index(r), "higher_rank").when(F.col("t")[i] == F.coalesce(F.col("c")[i], F.lit(0)), "correct").otherwise("incorrect")
+    each = both.select("read_id", F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), verdict(i, r).alias("verdict")) for i, r in enumerate(ranks)])).alias("x"))
+    return each.select("read_id", "x.rank", "x.verdict")
 
 
 def grade_summary(graded: DataFrame, n_reads: DataFrame) -> DataFrame:

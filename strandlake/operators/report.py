@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.dna import lineage_name, rank_code
+from strandlake.functions.dna import fixed_format, lineage_name, rank_code
 from strandlake.operators.tree import closure
 
-#: Report column -> what it shows; several names may mean the same.
+#: What a text report's columns show; several names mean the same.
 COLUMNS = {
-    "%": "pct", "percentage": "pct", "reads": "reads", "cladeReads": "reads", "taxReads": "tax_reads", "kmers": "kmers", "cladeKmers": "kmers_total", "totalKmers": "kmers_total",
-    "taxKmers": "tax_kmers_total", "specificTaxKmers": "tax_kmers", "uniqKmers": "kmers", "dup": "dup", "cov": "cov", "kmersDB": "kmers_db", "taxKmersDB": "tax_kmers_db",
-    "taxID": "taxid", "taxid": "taxid", "rank": "rank", "taxRank": "rank", "taxName": "name_indented", "name": "name_indented", "depth": "depth",
+    name: column
+    for column, names in {
+        "name": "name", "name_indented": "indentedName taxName", "taxid": "taxID taxId", "rank": "taxRank rank", "depth": "depth", "pct": "cladePerc percReadsClade percent % percentage",
+        "tax_reads": "numReadsTaxon taxReads reads_stay", "reads": "numReadsClade reads cladeReads reads_clade", "tax_kmers_total": "numKmersTaxon taxKmers", "kmers_total": "numKmersClade cladeKmers",
+        "tax_kmers": "numUniqueKmersTaxon specificTaxKmers", "kmers": "numUniqueKmersClade kmers specificCladeKmers", "tax_kmers_db": "numKmersInDatabaseTaxon taxKmersDB taxKmersInDB",
+        "kmers_db": "numKmersInDatabaseClade kmersDB cladeKmersInDB", "dup": "kmerDup dup", "cov": "kmerCov cov", None: "genomeSize totalHitLen totalScore abundance abundance_len",
+    }.items()
+    for name in names.split()
 }
+#: The columns of the usual report, of that with all k-mer counts, and of that without distinct k-mers.
+USUAL = ["%", "reads", "taxReads", "kmers", "dup", "cov", "taxID", "rank", "taxName"]
+FULL = ["%", "reads", "taxReads", "kmers", "taxKmers", "kmersDB", "taxKmersDB", "dup", "cov", "taxID", "rank", "taxName"]
+REDUCED = ["%", "reads", "taxReads", "taxID", "rank", "taxName"]
 
 
 def taxon_counts(calls: DataFrame, hits: DataFrame) -> DataFrame:
@@ -60,8 +69,9 @@ def display_order(clades: DataFrame, tree: DataFrame, *by: str) -> DataFrame:
     return sorts.select("taxid", "sort", F.row_number().over(Window.orderBy("sort")).cast("bigint").alias("ord"))
 
 
-def main_report(counts: DataFrame, tree: DataFrame, table_sizes: DataFrame, show_zeros: bool = False) -> DataFrame:
-    """One row a taxon: pct, reads, tax_reads, kmers, dup, cov (clade values), taxid, rank, name, depth, ord.
+def main_report(counts: DataFrame, tree: DataFrame, table_sizes: DataFrame, show_zeros: bool = False, all_columns: bool = False) -> DataFrame:
+    """One row a taxon: pct, reads, tax_reads, kmers, dup, cov (clade values), taxid, rank, name, depth, ord; with
+    ``all_columns`` also kmers_total, tax_kmers, tax_kmers_total, kmers_db and tax_kmers_db, which ``select_columns`` needs.
 
     pct is of all reads; dup is null without unique k-mers and cov is null where the table has none of the clade.
     """
@@ -73,16 +83,22 @@ def main_report(counts: DataFrame, tree: DataFrame, table_sizes: DataFrame, show
     rows = clades if show_zeros else clades.where("n_reads > 0")
     order = display_order(rows, tree, "n_reads", "n_kmers")
     full = rows.join(own, "taxid", "left").join(sizes, "taxid", "left").join(tree.select("taxid", "rank", "name", "depth"), "taxid", "left").join(order, "taxid").crossJoin(F.broadcast(total))  # total is one row
+    if all_columns:
+        full = full.join(table_sizes.select(F.col("taxon").alias("taxid"), F.col("n_kmers").alias("own_db")), "taxid", "left")
     return full.select(
         (F.lit(100.0) * F.col("n_reads") / F.col("total")).alias("pct"), F.col("n_reads").alias("reads"), F.coalesce("tax_reads", F.lit(0)).cast("bigint").alias("tax_reads"), F.col("n_unique").alias("kmers"),
         (F.col("n_kmers") / F.expr("nullif(n_unique, 0)")).alias("dup"), (F.col("n_unique") / F.expr("nullif(kmers_db, 0)")).alias("cov"), "taxid",
         F.coalesce("rank", F.lit("no rank")).alias("rank"), F.coalesce("name", F.lit("unclassified")).alias("name"), F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"), "ord",
+        *([F.coalesce(c, F.lit(0)).cast("bigint").alias(n) for c, n in (("n_kmers", "kmers_total"), ("tax_kmers", "tax_kmers"), ("tax_kmers_total", "tax_kmers_total"), ("kmers_db", "kmers_db"), ("own_db", "tax_kmers_db"))] if all_columns else []),
     )
 
 
 def rank_report(calls: DataFrame, tree: DataFrame, show_zeros: bool = False) -> DataFrame:
     """Clade report from calls alone: pct, clade_reads, taxon_reads, rank_code, taxid, name (indented), ord."""
-    own = calls.groupBy("taxid").agg(F.count("*").alias("taxon_reads")).persist()
+    return _ranked(calls.groupBy("taxid").agg(F.count("*").alias("taxon_reads")), tree, show_zeros)
+
+
+def _ranked(own: DataFrame, tree: DataFrame, show_zeros: bool) -> DataFrame:
     if show_zeros:
         own = tree.select("taxid").join(own, "taxid", "full").select("taxid", F.coalesce("taxon_reads", F.lit(0)).alias("taxon_reads"))
     clades = clade_counts(own.withColumnRenamed("taxon_reads", "clade_reads"), tree, "clade_reads")
@@ -108,5 +124,28 @@ def sample_report(calls: DataFrame, tree: DataFrame, samples: list[str], interme
 
 
 def select_columns(report: DataFrame, names: list[str]) -> DataFrame:
-    """Columns of a report by the names that the text report uses."""
-    return report.select(*[F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), F.col("name")).alias(n) if COLUMNS[n] == "name_indented" else F.col(COLUMNS[n]).alias(n) for n in names])
+    """Columns of a report with ``all_columns`` by the names that the text report uses; those that it knows but never fills are null."""
+    unknown = [n for n in names if n not in COLUMNS]
+    if unknown:
+        raise ValueError(f"no such report columns: {', '.join(unknown)}")
+    indented = F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), F.col("name"))
+    column = lambda c: F.lit(None).cast("double") if c is None else indented if c == "name_indented" else F.col(c)
+    return report.select(*[column(COLUMNS[n]).alias(n) for n in names])
+
+
+def counts_report(counts: DataFrame, tree: DataFrame, show_zeros: bool = False) -> DataFrame:
+    """The clade report from (taxid, n_reads), as files of counts give them."""
+    return _ranked(counts.groupBy("taxid").agg(F.sum("n_reads").alias("taxon_reads")), tree, show_zeros)
+
+
+def rank_lines(report: DataFrame) -> DataFrame:
+    """(ord, line): the clade report as text, percentages with two decimals."""
+    return report.select("ord", F.concat_ws("\t", fixed_format(F.col("pct"), 2, 6), F.col("clade_reads").cast("string"), F.col("taxon_reads").cast("string"), "rank_code", F.col("taxid").cast("string"), "name").alias("line"))
+
+
+def sample_lines(table: DataFrame, samples: list[str], header: bool = False) -> DataFrame:
+    """(ord, line): the sample report as text, by lineage; with ``header`` a first line names the samples."""
+    rows = table.select(F.lit(1).alias("ord"), F.concat_ws("\t", "lineage", *[F.col(f"`{s}`").cast("string") for s in samples]).alias("line"))
+    if not header:
+        return rows
+    return table.sparkSession.createDataFrame([(0, "\t".join(["#Sample", *samples]))], "ord int, line string").unionByName(rows)

@@ -20,6 +20,34 @@ def finalizer(keys: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def ranhash(keys: np.ndarray) -> np.ndarray:
+    """The hash of integers in Numerical Recipes."""
+    u = lambda x: np.uint64(x)
+    v = keys.astype(np.uint64) * u(3935559000370003845) + u(2691343689449507681)
+    v ^= v >> u(21)
+    v ^= v << u(37)
+    v ^= v >> u(4)
+    v *= u(4768777513237032717)
+    v ^= v << u(20)
+    v ^= v >> u(41)
+    return v ^ (v << u(5))
+
+
+def wang(keys: np.ndarray) -> np.ndarray:
+    """Thomas Wang's 64-bit mixer."""
+    u, k = lambda x: np.uint64(x), keys.astype(np.uint64)
+    k = ~k + (k << u(21))
+    k ^= k >> u(24)
+    k *= u(265)
+    k ^= k >> u(14)
+    k *= u(21)
+    k ^= k >> u(28)
+    return k + (k << u(31))
+
+
+MIXERS = {"murmur": finalizer, "ranhash": ranhash, "wang": wang}
+
+
 def _rank(rest: np.ndarray, width: int) -> np.ndarray:
     """Leading zeros of the low ``width`` bits, plus one."""
     high = np.zeros(rest.shape, np.int64)
@@ -31,7 +59,7 @@ def _rank(rest: np.ndarray, width: int) -> np.ndarray:
     return np.where(rest == 0, width + 1, width - high)
 
 
-def registers(kmers: DataFrame, precision: int = 12) -> DataFrame:
+def registers(kmers: DataFrame, precision: int = 12, mixer: str = "murmur") -> DataFrame:
     """(taxon, idx, rank) from (taxon, kmer BIGINT). Hashing wraps at 64 bits, which SQL arithmetic refuses, so it runs on Arrow batches."""
     from strandlake.plans.workers import on_workers
 
@@ -40,7 +68,7 @@ def registers(kmers: DataFrame, precision: int = 12) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = finalizer(batch.column(1).to_numpy())
+            h = MIXERS[mixer](batch.column(1).to_numpy())
             rank = _rank(h & np.uint64((1 << width) - 1), width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((h >> np.uint64(width)).astype(np.int32)), pa.array(rank.astype(np.int32))], names=["taxon", "idx", "rank"])
 

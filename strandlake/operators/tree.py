@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.dna import lineage_name, rank_code
+from strandlake.operators.ranges import intervals, placed
 
 RANKS = ["unknown", "no rank", "sequence", "assembly", "subspecies", "species", "species subgroup", "species group", "subgenus", "genus", "tribe", "subfamily", "family", "superfamily", "parvorder", "infraorder", "suborder", "order", "superorder", "subclass", "class", "superclass", "subphylum", "phylum", "superphylum", "kingdom", "superkingdom", "root"]
 
@@ -21,19 +22,30 @@ def parent_map(taxonomy: DataFrame) -> DataFrame:
 def with_paths(taxonomy: DataFrame) -> DataFrame:
     """Pointer doubling: the part of the path known doubles with every join, so depth d takes log2(d) of them.
 
-    A node whose chain meets no known parent ends there; a parent of itself counts as the root.
+    A node whose chain meets no known parent ends there; a parent of itself counts as the root. Longer cycles are an error.
     """
     nodes = taxonomy.withColumn("up", F.when((F.col("taxid") == 1) | (F.col("parent") == F.col("taxid")), 0).otherwise(F.col("parent")))
-    step = nodes.select("taxid", "up", F.array("taxid").alias("path"))
-    while True:
-        upper = step.select(F.col("taxid").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"))
-        step = step.join(upper, "up", "left").select("taxid", F.coalesce("next", F.lit(0)).cast("bigint").alias("up"), F.when(F.col("head").isNull(), F.col("path")).otherwise(F.concat("head", "path")).alias("path")).persist()
-        if step.where("up <> 0").isEmpty():
-            break
+    step = chains(nodes.select(F.col("taxid").alias("node"), "up")).select(F.col("node").alias("taxid"), "path")
     pre = F.row_number().over(Window.orderBy("path")).cast("bigint")  # one row a taxon; taxonomies are small beside reads
     return taxonomy.join(step.select("taxid", "path"), "taxid").withColumn("depth", (F.size("path") - 1).cast("bigint")).withColumn("pre", pre)
 
 
+def chains(nodes: DataFrame) -> DataFrame:
+    """(node, path): from the last known ancestor down to each node of (node, up), where an ``up`` of 0 or unknown ends the chain."""
+    step = nodes.select("node", F.col("up").cast("bigint").alias("up"), F.array("node").alias("path")).persist()
+    while True:
+        upper = step.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"))
+        longer = step.join(upper, "up", "left").select("node", F.coalesce("next", F.lit(0)).cast("bigint").alias("up"), F.when(F.col("head").isNull(), F.col("path")).otherwise(F.concat("head", "path")).alias("path")).persist()
+        left, cyclic = longer.agg(F.count_if(F.col("up") != 0), F.count_if(F.size(F.array_distinct("path")) < F.size("path"))).first()
+        step.unpersist()
+        step = longer
+        if cyclic:
+            step.unpersist()
+            raise ValueError(f"{cyclic} nodes are their own ancestors")
+        if not left:
+            return step.select("node", "path")
+
+
 def closure(tree: DataFrame) -> DataFrame:
     """(taxid, ancestor, dist), each node its own ancestor at 0."""
     return tree.select("taxid", "depth", F.posexplode("path").alias("d", "ancestor")).select("taxid", "ancestor", (F.col("depth") - F.col("d")).alias("dist"))
@@ -82,7 +94,14 @@ def next_proper_rank(tree: DataFrame) -> DataFrame:
 
 
 def lineages(tree: DataFrame, style: str = "names") -> DataFrame:
-    """(taxid, lineage): ``names`` joins by '; ' without the root; ``ranked`` is |d__A|p__B with '-' for other ranks."""
+    """(taxid, lineage): ``names`` joins by '; ' without the root; ``ranked`` is |d__A|p__B with '-' for other ranks; ``above``
+    joins what lies above species, the root included but not 131567, and ends in a full stop."""
+    if style == "above":
+        ranks = tree.select(F.col("taxid").alias("ancestor"), F.col("name").alias("n"), (F.col("rank") == "species").alias("species"))
+        each = closure(tree).join(ranks, "ancestor").groupBy("taxid").agg(F.sort_array(F.collect_list(F.struct((-F.col("dist")).alias("o"), F.col("ancestor").alias("a"), "n", "species"))).alias("x"))
+        first = F.array_position(F.transform("x", lambda p: F.coalesce(p["species"], F.lit(False))), True)
+        shown = F.filter(F.when(first > 0, F.slice("x", F.lit(1), (first - 1).cast("int"))).otherwise(F.col("x")), lambda p: p["a"] != 131567)
+        return each.select("taxid", F.when(F.size(shown) > 0, F.concat(F.array_join(F.transform(shown, lambda p: p["n"]), "; "), F.lit("."))).otherwise("").alias("lineage"))
     names = tree.select(F.col("taxid").alias("ancestor"), F.col("name").alias("n"), F.col("rank").alias("r"))
     steps = closure(tree).join(names, "ancestor").where("ancestor <> 1")
     text = F.col("n") if style == "names" else F.concat(F.lower(rank_code(F.col("r"))), F.lit("__"), lineage_name(F.col("n")))
@@ -119,8 +138,58 @@ def is_below(tree: DataFrame, taxid: int) -> Column:
     return F.array_contains("path", F.lit(taxid).cast("bigint"))
 
 
+#: Their sequences get no nodes of their own.
+HUMAN, MOUSE = 9606, 10090
+
+
+def insert(taxonomy: DataFrame, taxid: int, parent: int, rank: str, name: str) -> DataFrame:
+    """The taxonomy with one node more; unchanged where the taxid is taken or the parent unknown."""
+    new = taxonomy.sparkSession.createDataFrame([(taxid, parent, name, rank)], "taxid bigint, parent bigint, name string, rank string")
+    fits = new.join(taxonomy.select(F.col("taxid")), "taxid", "left_anti").join(taxonomy.select(F.col("taxid").alias("parent")), "parent", "left_semi")
+    return taxonomy.select("taxid", "parent", "name", "rank").unionByName(fits.select("taxid", "parent", "name", "rank"))
+
+
+def by_name(taxonomy: DataFrame, name: str) -> DataFrame:
+    """The entries of a scientific name."""
+    return taxonomy.where(F.col("name") == name)
+
+
+def last_pseudo_taxid(taxonomy: DataFrame) -> DataFrame:
+    """(base): the number after which new taxids start; one row."""
+    return taxonomy.agg(F.coalesce(F.max(F.when(F.col("taxid") >= 1_000_000_000, F.col("taxid"))) + 99, F.lit(1_000_000_000)).cast("bigint").alias("base"))
+
+
+def _numbered(rows: DataFrame, out: str) -> DataFrame:
+    low, high = rows.agg(F.min("ord"), F.max("ord")).first()
+    return placed(rows, intervals("ord", low or 0, high or 0), ["ord"], out)
+
+
 def add_pseudo_taxids(taxonomy: DataFrame, sequences: DataFrame, rank: str = "sequence") -> DataFrame:
     """Taxonomy with one new node for each (seq_id, taxid, name, ord): numbered in ``ord`` after the last pseudo-taxid."""
-    base = taxonomy.agg(F.coalesce(F.max(F.when(F.col("taxid") >= 1_000_000_000, F.col("taxid"))) + 99, F.lit(1_000_000_000)).cast("bigint").alias("base"))
-    new = sequences.crossJoin(F.broadcast(base)).select((F.col("base") + F.row_number().over(Window.orderBy("ord"))).alias("taxid"), F.col("taxid").alias("parent"), F.col("name"), F.lit(rank).alias("rank"))  # base is one row
+    new = _numbered(sequences, "at").crossJoin(F.broadcast(last_pseudo_taxid(taxonomy))).select((F.col("base") + F.col("at") + 1).alias("taxid"), F.col("taxid").alias("parent"), F.col("name"), F.lit(rank).alias("rank"))  # base is one row
     return taxonomy.select("taxid", "parent", "name", "rank").unionByName(new)
+
+
+def add_assembly_taxids(taxonomy: DataFrame, seqmap: DataFrame, sequences: bool = True, headers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(taxonomy, map): nodes for assemblies and, below them, for sequences.
+
+    ``seqmap`` is (seq_id, taxid, name, ord); of repeated ids the first line counts. Lines with one name share an assembly
+    node below the taxon of the first of them; every sequence but those of human and mouse gets a node below its assembly,
+    or below its taxon where the name is null or empty, named by its header in ``headers`` (seq_id, header_line) or else by
+    its id. Numbers follow the lines, an assembly's before its sequence's. The map is (seq_id, taxid) with the new taxids.
+    """
+    first = seqmap.groupBy("seq_id").agg(F.min_by(F.struct("taxid", "name", "ord"), "ord").alias("x")).select("seq_id", "x.*")
+    named = first.where("name <> ''")
+    assemblies = named.groupBy("name").agg(F.min(F.struct("ord", "taxid")).alias("x")).select("name", F.col("x.taxid").alias("parent"), (F.col("x.ord") * 2).alias("ord"), F.lit("assembly").alias("rank"))
+    own = first.where(~F.col("taxid").isin(HUMAN, MOUSE)).select("seq_id", (F.col("ord") * 2 + 1).alias("ord")) if sequences else first.limit(0).select("seq_id", "ord")
+    every = assemblies.select(F.lit(None).cast("string").alias("seq_id"), F.col("name").alias("assembly"), "ord").unionByName(own.select("seq_id", F.lit(None).cast("string").alias("assembly"), "ord"))
+    ids = _numbered(every, "at").crossJoin(F.broadcast(last_pseudo_taxid(taxonomy))).withColumn("id", F.col("base") + F.col("at") + 1)  # base is one row
+    of_name = ids.where("assembly is not null").select(F.col("assembly").alias("name"), F.col("id").alias("assembly_id"))
+    of_seq = ids.where("seq_id is not null").select("seq_id", F.col("id").alias("own_id"))
+    lines = first.join(of_name, "name", "left").join(of_seq, "seq_id", "left")
+    shown = lines if headers is None else lines.join(headers.select("seq_id", "header_line"), "seq_id", "left")
+    title = F.col("seq_id") if headers is None else F.coalesce("header_line", "seq_id")
+    new = assemblies.join(of_name, "name").select(F.col("assembly_id").alias("taxid"), "parent", "name", "rank").unionByName(
+        shown.where("own_id is not null").select(F.col("own_id").alias("taxid"), F.coalesce("assembly_id", "taxid").alias("parent"), title.alias("name"), F.lit("sequence").alias("rank"))
+    )
+    return taxonomy.select("taxid", "parent", "name", "rank").unionByName(new), lines.select("seq_id", F.coalesce("own_id", "assembly_id", "taxid").alias("taxid"))

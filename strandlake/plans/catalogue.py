@@ -14,7 +14,7 @@ from strandlake.operators import post as P
 from strandlake.operators import report as R
 from strandlake.operators import tree as T
 from strandlake.plans.fixtures import K, M, Fixtures
-from strandlake.plans.oracles import MINIMIZER, oracle
+from strandlake.plans.oracles import MINIMIZER, minimizer, oracle, windows_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,7 +154,7 @@ def taxonomy_parent_map(f):
     return T.parent_map(f.taxonomy)
 
 
-_PAIRS = "SELECT a.taxid AS a, b.taxid AS b FROM taxonomy a JOIN taxonomy b ON b.taxid % 7 = a.taxid % 7 UNION ALL SELECT taxid, 0 FROM taxonomy UNION ALL SELECT 0, taxid FROM taxonomy"
+_PAIRS = "SELECT taxid AS a, ancestor AS b FROM closure UNION ALL SELECT a.taxid, b.taxid FROM taxonomy a JOIN taxonomy b ON b.taxid = a.taxid + 1 UNION ALL SELECT taxid, 0 FROM taxonomy UNION ALL SELECT 0, taxid FROM taxonomy"
 _LCA = "SELECT p.a, p.b, CASE WHEN p.a = 0 THEN p.b WHEN p.b = 0 THEN p.a ELSE l.lca END AS lca, CASE WHEN p.a = 0 OR p.b = 0 THEN -1 ELSE l.dist END AS dist FROM pairs p LEFT JOIN (SELECT x.taxid AS a, y.taxid AS b, arg_min(x.ancestor, x.dist) AS lca, min(x.dist + y.dist) AS dist FROM closure x JOIN closure y ON x.ancestor = y.ancestor GROUP BY 1, 2) l ON l.a = p.a AND l.b = p.b"
 
 
@@ -162,7 +162,7 @@ def _pairs(f):
     t = f.taxonomy.select("taxid")
     a, b = t.select(F.col("taxid").alias("a")), t.select(F.col("taxid").alias("b"))
     zero = F.lit(0).cast("bigint")
-    return a.join(b, F.col("a") % 7 == F.col("b") % 7).union(t.select("taxid", zero)).union(t.select(zero, "taxid"))
+    return T.closure(f.tree).select(F.col("taxid").alias("a"), F.col("ancestor").alias("b")).union(a.join(b, F.col("b") == F.col("a") + 1)).union(t.select("taxid", zero)).union(t.select(zero, "taxid"))
 
 
 @query(f"SELECT a, b, lca FROM ({_LCA})", pairs=_PAIRS)
@@ -527,3 +527,115 @@ def grade_truth_join(f):
     ids = f.genomes.select("seq_id", "taxid")
     found = P.truth(named, ids, "_(G\\d+\\.1)_")
     return found.groupBy(F.regexp_extract("read_id", "_(G\\d+\\.1)_", 1).alias("seq_id")).agg(F.count("*").alias("n"), F.sum((F.col("taxid") == F.col("true_taxid")).cast("bigint")).alias("exact"))
+
+
+# -- further forms ---------------------------------------------------------------------------------------------
+
+_MAIN_MORE = _MAIN.replace(" AS cov,", " AS cov, c.n_kmers AS kmers_total, coalesce(tc.n_unique, 0) AS tax_kmers, coalesce(tc.n_kmers, 0) AS tax_kmers_total, coalesce(z.kmers_db, 0) AS kmers_db, coalesce(s.n_kmers, 0) AS tax_kmers_db,").replace(" LEFT JOIN csizes z", " LEFT JOIN sizes s ON s.taxid = c.taxid LEFT JOIN csizes z")
+_TITLE = "repeat('  ', depth::BIGINT) || name"
+
+
+def _whole_report(f) -> DataFrame:
+    hits = _hits(f).persist()
+    return R.main_report(R.taxon_counts(_calls(f, hits), hits), f.tree, D.taxon_sizes(f.kmer_table), all_columns=True)
+
+
+@query(f'SELECT pct AS "%", reads, tax_reads AS "taxReads", kmers, tax_kmers_total AS "taxKmers", kmers_db AS "kmersDB", tax_kmers_db AS "taxKmersDB", dup, cov, taxid AS "taxID", rank, {_TITLE} AS "taxName" FROM more', more=_MAIN_MORE)
+def report_full_columns(f):
+    return R.select_columns(_whole_report(f), R.FULL)
+
+
+@query(f'SELECT pct AS "%", reads, tax_reads AS "taxReads", taxid AS "taxID", rank, {_TITLE} AS "taxName" FROM more', more=_MAIN_MORE)
+def report_reduced_columns(f):
+    return R.select_columns(_whole_report(f), R.REDUCED)
+
+
+@query('SELECT name, taxid AS "taxId", depth, kmers_total AS "numKmersClade", tax_kmers AS "specificTaxKmers", kmers AS "specificCladeKmers", tax_kmers_db AS "numKmersInDatabaseTaxon", kmers_db AS "cladeKmersInDB", reads AS "reads_clade", tax_reads AS "reads_stay" FROM more', more=_MAIN_MORE)
+def report_other_columns(f):
+    return R.select_columns(_whole_report(f), ["name", "taxId", "depth", "numKmersClade", "specificTaxKmers", "specificCladeKmers", "numKmersInDatabaseTaxon", "cladeKmersInDB", "reads_clade", "reads_stay"])
+
+
+_RANKS_SQL = ORACLES["report_ranks"]
+
+
+@query(f"SELECT printf('%6.2f', 100.0::DOUBLE * c.n / (SELECT sum(n_reads) FROM rc)) || chr(9) || c.n::VARCHAR || chr(9) || coalesce(rc.n_reads, 0)::VARCHAR || chr(9) || CASE WHEN c.taxid = 0 THEN 'U' ELSE {_CODE.format('x.rank')} END || chr(9) || c.taxid::VARCHAR || chr(9) || repeat('  ', coalesce(d.depth, 0)::BIGINT) || coalesce(x.name, 'unclassified') AS line FROM creads c LEFT JOIN rc ON rc.taxid = c.taxid LEFT JOIN taxonomy x ON x.taxid = c.taxid LEFT JOIN depths d ON d.taxid = c.taxid", creads=_CALLED)
+def report_rank_lines(f):
+    return R.rank_lines(R.rank_report(_calls(f).select("read_id", "taxid"), f.tree)).select("line")
+
+
+@query()
+def report_from_counts(f):
+    counts = _calls(f).groupBy("taxid").agg(F.count("*").alias("n_reads"))
+    return R.counts_report(counts, f.tree).drop("ord")
+
+
+ORACLES["report_from_counts"] = _RANKS_SQL
+
+
+_FILTERED = "SELECT k.read_id, CASE WHEN k.taxid <= 1 THEN k.taxid ELSE coalesce(f.t, 1) END AS taxid, coalesce(f.p, l.p, 0) AS p FROM calls k LEFT JOIN (SELECT read_id, arg_min(ancestor, dist) AS t, arg_min(p, dist) AS p FROM climb WHERE p >= 0.6 - 1e-5 GROUP BY 1) f ON f.read_id = k.read_id LEFT JOIN (SELECT read_id, arg_max(p, dist) AS p FROM climb GROUP BY 1) l ON l.read_id = k.read_id"
+
+
+@query("SELECT f.read_id, CASE WHEN f.taxid > 0 THEN 'C' ELSE 'U' END || chr(9) || f.read_id::VARCHAR || chr(9) || f.taxid::VARCHAR || chr(9) || length(r.seq)::VARCHAR || chr(9) || 'P=' || printf('%.3f', f.p::DOUBLE) || chr(9) || l.hitlist AS line FROM filtered f JOIN reads r ON r.read_id = f.read_id JOIN lists l ON l.read_id = f.read_id", unamb=_UNAMB, below=_BELOW, climb=_CLIMB, filtered=_FILTERED)
+def confidence_lines(f):
+    rows = _classified(f)
+    return P.filter_lines(rows, P.confidence_filter(rows, f.tree, 0.6))
+
+
+@query("SELECT CASE WHEN c.taxid <> 0 THEN 'C' ELSE 'U' END AS status, r.read_id // 2 AS read_id, c.taxid, length(r.seq) AS length, l.hitlist FROM reads r JOIN calls c ON c.read_id = r.read_id JOIN lists l ON l.read_id = r.read_id")
+def classify_repeated_ids(f):
+    """Two records of each id; every record has a row of its own."""
+    reads = f.reads.select(F.col("read_id").alias("record"), F.floor(F.col("read_id") / 2).alias("read_id"), "seq")
+    return C.classify(reads, [f.kmer_table], f.tree, K)
+
+
+@query("SELECT read_id, taxid, score FROM calls", **windows_of(31))
+def classify_calls_k31(f):
+    table = D.build_lca(D.genome_kmers(f.genomes, 31), f.tree)
+    return C.vote(f.reads, C.hit_counts(C.lookup(f.reads, table, 31)), f.tree)
+
+
+@query(f"SELECT kmer, {minimizer(31, 15)} AS bin FROM db", **windows_of(31))
+def minimizer_bins_k31(f):
+    return D.with_bins(D.build_lca(D.genome_kmers(f.genomes, 31), f.tree).select("kmer"), 31, 15)
+
+
+@query("SELECT 'AC' || s_suppkey::VARCHAR || '.1' AS accession_version, 1000 + s_suppkey AS taxid, s_name AS seq FROM supplier JOIN (SELECT taxid FROM closure WHERE ancestor = 12) d ON d.taxid = 1000 + s_suppkey WHERE s_suppkey % 2 = 0")
+def nt_subset(f):
+    s = f.table("supplier")
+    name = F.concat(F.lit("AC"), F.col("s_suppkey").cast("string"), F.lit(".1"))
+    accessions = s.select(name.alias("accession_version"), (F.col("s_suppkey") + 1000).alias("taxid"))
+    return D.accession_subset(s.where("s_suppkey % 2 = 0").select(name.alias("id"), F.col("s_name").alias("seq")), accessions.union(accessions), T.descendants(f.tree, [12]))
+
+
+@query("SELECT t.taxid, coalesce(string_agg(a.name, '; ' ORDER BY c.dist DESC) FILTER (NOT EXISTS (SELECT 1 FROM closure y JOIN taxonomy s ON s.taxid = y.ancestor AND s.rank = 'species' WHERE y.taxid = c.ancestor)) || '.', '') AS lineage FROM taxonomy t JOIN closure c ON c.taxid = t.taxid JOIN taxonomy a ON a.taxid = c.ancestor GROUP BY 1")
+def lineage_above_species(f):
+    return T.lineages(f.tree, "above")
+
+
+_NEW = {
+    "asm_lines": "SELECT seq_id, taxid, CASE WHEN ord % 5 = 4 THEN NULL ELSE 'assembly ' || (ord % 7)::VARCHAR END AS name, ord FROM genomes",
+    "asm_firsts": "SELECT name, min(ord) AS ord, arg_min(taxid, ord) AS parent FROM asm_lines WHERE name IS NOT NULL GROUP BY 1",
+    "asm_events": "SELECT 2 * ord AS o, name, NULL::VARCHAR AS seq_id FROM asm_firsts UNION ALL SELECT 2 * ord + 1, NULL::VARCHAR, seq_id FROM asm_lines",
+    "asm_ids": "SELECT *, 1000000000 + row_number() OVER (ORDER BY o) AS id FROM asm_events",
+}
+
+
+def _assemblies(f):
+    lines = f.genomes.select("seq_id", "taxid", F.when(F.col("ord") % 5 != 4, F.concat(F.lit("assembly "), (F.col("ord") % 7).cast("string"))).alias("name"), "ord")
+    return T.add_assembly_taxids(f.taxonomy, lines)
+
+
+@query("SELECT taxid, parent, name, rank FROM taxonomy UNION ALL SELECT i.id, f.parent, f.name, 'assembly' FROM asm_ids i JOIN asm_firsts f ON f.name = i.name UNION ALL SELECT i.id, coalesce(a.id, l.taxid), l.seq_id, 'sequence' FROM asm_ids i JOIN asm_lines l ON l.seq_id = i.seq_id LEFT JOIN asm_ids a ON a.name = l.name", **_NEW)
+def assembly_taxids(f):
+    return _assemblies(f)[0]
+
+
+@query("SELECT seq_id, id AS taxid FROM asm_ids WHERE seq_id IS NOT NULL", **_NEW)
+def assembly_map(f):
+    return _assemblies(f)[1]
+
+
+@query("SELECT CASE WHEN length(seq) = 0 THEN 'empty' WHEN taxid IS NULL THEN 'no taxid' WHEN taxid % 4 = 1 THEN 'taxid not in taxonomy' ELSE 'too short' END AS reason, count(*) AS n FROM (SELECT CASE WHEN read_id % 11 = 0 THEN '' ELSE seq END AS seq, CASE WHEN read_id % 13 = 0 THEN NULL ELSE true_taxid END AS taxid FROM reads) WHERE length(seq) = 0 OR taxid IS NULL OR taxid % 4 = 1 OR length(seq) < 20 GROUP BY 1")
+def skipped_sequences(f):
+    rows = f.reads.select(F.when(F.col("read_id") % 11 == 0, "").otherwise(F.col("seq")).alias("seq"), F.when(F.col("read_id") % 13 != 0, F.col("true_taxid")).alias("taxid"))
+    return D.skipped_sequences(rows, f.tree.where("taxid % 4 <> 1"), 20)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from strandlake.plans.fixtures import K, SQL, TABLES, M
 
 _RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
-_SCRAMBLE = 0xE37E28C4271B5A2D & (4**M - 1)
 
 
 def _code(x: str, n: int) -> str:
@@ -17,17 +16,32 @@ def _canon(x: str) -> str:
     return f"least({x}, {_RC.format(x)})"
 
 
-MINIMIZER = "least(" + ", ".join(f"xor({_code(_canon(f'substr(kmer, {i + 1}, {M})'), M)}, {_SCRAMBLE})" for i in range(K - M + 1)) + ")"
+def minimizer(k: int, m: int) -> str:
+    """The bin of ``kmer``."""
+    mask = 0xE37E28C4271B5A2D & (4**m - 1)
+    return "least(" + ", ".join(f"xor({_code(_canon(f'substr(kmer, {i + 1}, {m})'), m)}, {mask})" for i in range(k - m + 1)) + ")"
+
+
+MINIMIZER = minimizer(K, M)
+
+
+def windows_of(k: int) -> dict[str, str]:
+    """k-mers of genomes and reads."""
+    return {
+        "gk": f"SELECT taxid, tier, ord, {_canon('km')} AS kmer FROM (SELECT taxid, tier, ord, substr(seq, i, {k}) AS km FROM (SELECT *, unnest(range(1, length(seq) - {k} + 2)) AS i FROM genomes)) WHERE regexp_full_match(km, '[ACGT]+')",
+        "rk": f"SELECT read_id, i - 1 AS pos, km AS kmer, {_canon('km')} AS canon, NOT regexp_full_match(km, '[ACGT]+') AS ambig FROM (SELECT read_id, i, substr(seq, i, {k}) AS km FROM (SELECT *, unnest(range(1, length(seq) - {k} + 2)) AS i FROM reads))",
+    }
+
 
 CTE: dict[str, str] = {k: v.format(**{n: n for n in (*TABLES, *SQL)}) for k, v in SQL.items()}
 CTE |= {
     "closure(taxid, ancestor, dist)": "SELECT taxid, taxid, 0::BIGINT FROM taxonomy UNION ALL SELECT c.taxid, t.parent, c.dist + 1 FROM closure c JOIN taxonomy t ON t.taxid = c.ancestor WHERE t.parent <> 0",
     "depths": "SELECT taxid, max(dist) AS depth FROM closure GROUP BY 1",
-    "gk": f"SELECT taxid, tier, ord, {_canon('km')} AS kmer FROM (SELECT taxid, tier, ord, substr(seq, i, {K}) AS km FROM (SELECT *, unnest(range(1, length(seq) - {K} + 2)) AS i FROM genomes)) WHERE regexp_full_match(km, '[ACGT]+')",
+    "gk": windows_of(K)["gk"],
     "mem": "SELECT DISTINCT kmer, taxid FROM gk",
     "db": """SELECT s.kmer, arg_max(s.ancestor, d.depth) AS taxon FROM (SELECT m.kmer, c.ancestor, count(*) AS k FROM mem m JOIN closure c ON c.taxid = m.taxid GROUP BY 1, 2) s
         JOIN (SELECT kmer, count(*) AS n FROM mem GROUP BY 1) n ON n.kmer = s.kmer AND n.n = s.k JOIN depths d ON d.taxid = s.ancestor GROUP BY 1""",
-    "rk": f"SELECT read_id, i - 1 AS pos, km AS kmer, {_canon('km')} AS canon, NOT regexp_full_match(km, '[ACGT]+') AS ambig FROM (SELECT read_id, i, substr(seq, i, {K}) AS km FROM (SELECT *, unnest(range(1, length(seq) - {K} + 2)) AS i FROM reads))",
+    "rk": windows_of(K)["rk"],
     "hits": "SELECT read_id, pos, canon, ambig, coalesce(taxon, 0) AS taxon FROM rk LEFT JOIN db ON db.kmer = rk.canon AND NOT rk.ambig",
     "counts": "SELECT read_id, taxon, count(*) AS n FROM hits WHERE taxon <> 0 GROUP BY 1, 2",
     "scores": "SELECT a.read_id, a.taxon, sum(b.n)::BIGINT AS score FROM counts a JOIN closure c ON c.taxid = a.taxon JOIN counts b ON b.read_id = a.read_id AND b.taxon = c.ancestor GROUP BY 1, 2",

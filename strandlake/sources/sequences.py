@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 GENOME_FILES = "*.{fna,fa,ffn,fasta,fsa,FNA,FA,FFN,FASTA,FSA}"
@@ -19,17 +19,16 @@ def numbered(df: DataFrame, out: str = "rec_no") -> DataFrame:
     """
     marked = df.withColumn("__m", F.monotonically_increasing_id())
     part, at = F.shiftrightunsigned("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
-    offset, before = 0, {}
-    for p, n in sorted(marked.groupBy(part.alias("p")).count().collect()):
-        before[p], offset = offset, offset + n
-    offsets = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0).cast("long"), F.lit(0))
-    return marked.withColumn(out, (F.coalesce(offsets[part], F.lit(0)) + at).cast("bigint")).drop("__m")
+    sizes = marked.groupBy(part.alias("__p")).count()
+    starts = sizes.select("__p", (F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")).alias("__s"))  # a row a partition
+    return marked.withColumn("__p", part).join(F.broadcast(starts), "__p").withColumn(out, (F.col("__s") + at).cast("bigint")).drop("__m", "__p", "__s")
 
 
-def read_fasta(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str | list[str], recursive: bool = False, number: bool = False) -> DataFrame:
     """(file, id, header_line, seq): records split at line-start '>', so large files are read in parallel.
 
-    Lines of a sequence are joined; empty sequences stay.
+    Lines of a sequence are joined; empty sequences stay. With ``number`` records of one file also get ``rec_no`` in its order,
+    by which files of mates are put together.
     """
     reader = spark.read.option("lineSep", "\n>")
     if recursive:
@@ -37,7 +36,8 @@ def read_fasta(spark: SparkSession, path: str | list[str], recursive: bool = Fal
     raw = reader.text(path).select(F.input_file_name().alias("file"), F.regexp_replace("value", "^>", "").alias("t"))
     header = F.regexp_replace(F.substring_index("t", "\n", 1), "\r$", "")
     body = F.when(F.instr("t", "\n") > 0, F.expr("substring(t, instr(t, '\\n') + 1)")).otherwise("")
-    return raw.where("t <> ''").select("file", _id(header).alias("id"), header.alias("header_line"), F.translate(body, "\r\n \t", "").alias("seq"))
+    rows = raw.where("t <> ''").select("file", _id(header).alias("id"), header.alias("header_line"), F.translate(body, "\r\n \t", "").alias("seq"))
+    return numbered(rows) if number else rows
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
@@ -73,18 +73,18 @@ def read_embl(spark: SparkSession, path: str) -> DataFrame:
     return entries.select(accession.alias("id"), F.concat_ws(" ", accession, description).alias("header_line"), F.upper(F.regexp_replace(body, "[^A-Za-z]", "")).alias("seq"))
 
 
-def _lines(df: DataFrame, text: Column, path: str) -> None:
+def _lines(df: DataFrame, text: Column, path: str, append: bool = False) -> None:
     options = {"compression": "gzip"} if path.endswith(".gz") else {}
-    df.select(text.alias("value")).write.mode("overwrite").options(**options).text(path)
+    df.select(text.alias("value")).write.mode("append" if append else "overwrite").options(**options).text(path)
 
 
-def write_fasta(df: DataFrame, path: str) -> None:
-    _lines(df, F.concat(F.lit(">"), F.coalesce("header_line", F.lit("")), F.lit("\n"), F.coalesce("seq", F.lit(""))), path)
+def write_fasta(df: DataFrame, path: str, append: bool = False) -> None:
+    _lines(df, F.concat(F.lit(">"), F.coalesce("header_line", F.lit("")), F.lit("\n"), F.coalesce("seq", F.lit(""))), path, append)
 
 
-def write_fastq(df: DataFrame, path: str) -> None:
-    _lines(df, F.concat(F.lit("@"), "header_line", F.lit("\n"), "seq", F.lit("\n+\n"), "quals"), path)
+def write_fastq(df: DataFrame, path: str, append: bool = False) -> None:
+    _lines(df, F.concat(F.lit("@"), "header_line", F.lit("\n"), "seq", F.lit("\n+\n"), "quals"), path, append)
 
 
-def write_sequences(df: DataFrame, path: str, fmt: str) -> None:
-    (write_fastq if fmt == "fastq" else write_fasta)(df, path)
+def write_sequences(df: DataFrame, path: str, fmt: str, append: bool = False) -> None:
+    (write_fastq if fmt == "fastq" else write_fasta)(df, path, append)

@@ -31,8 +31,11 @@ def read_taxonomy_dumps(spark: SparkSession, nodes: str, names: str) -> DataFram
     return both.select("taxid", F.when(F.col("taxid") == 1, F.lit(0)).otherwise(F.col("parent")).cast("bigint").alias("parent"), F.coalesce("name", F.lit("")).alias("name"), "rank")
 
 
-def read_taxdb(spark: SparkSession, path: str) -> DataFrame:
-    """(taxid, parent, name, rank[, genome_size, genome_size_children]): columns in this order; fails on a node that is its own parent."""
+def read_taxdb(spark: SparkSession, path: str, unclassified: bool = False) -> DataFrame:
+    """(taxid, parent, name, rank[, genome_size, genome_size_children]): columns in this order; fails on a node that is its own parent.
+
+    With ``unclassified`` a row of taxid 0 is added where there is none.
+    """
     raw = spark.read.option("sep", "\t").option("quote", "").csv(path)
     names = ["taxid", "parent", "name", "rank", "genome_size", "genome_size_children"][: len(raw.columns)]
     t = raw.toDF(*names)
@@ -40,6 +43,9 @@ def read_taxdb(spark: SparkSession, path: str) -> DataFrame:
         if c not in ("name", "rank"):
             t = t.withColumn(c, F.col(c).cast("bigint"))
     t = t.withColumn("parent", F.when(F.col("taxid") == 1, F.lit(0).cast("bigint")).otherwise(F.col("parent")))
+    if unclassified and t.where("taxid = 0").isEmpty():
+        text = {"name": "unclassified", "rank": "no rank"}
+        t = t.unionByName(spark.range(1).select(*[(F.lit(text[c]) if c in text else F.lit(0).cast("bigint")).alias(c) for c in names]))
     return t.where(F.coalesce(F.assert_true((F.col("taxid") <= 1) | (F.col("taxid") != F.col("parent")), "a taxon is its own parent").isNull(), F.lit(True)))
 
 
@@ -56,8 +62,9 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("taxon bigint, n_kmers bigint").option("sep", "\t").csv(path)
 
 
-def read_classification(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CLASSIFICATION).option("sep", "\t").option("quote", "").csv(path)
+def read_classification(spark: SparkSession, path: str, sequence: bool = False) -> DataFrame:
+    """Classification rows, with ``sequence`` those that have a sixth column with it."""
+    return spark.read.schema(CLASSIFICATION + ", seq string" * sequence).option("sep", "\t").option("quote", "").csv(path)
 
 
 def read_assembly_summary(spark: SparkSession, path: str) -> DataFrame:
@@ -89,15 +96,15 @@ def find_database(name: str, environ: dict[str, str] | None = None, default: str
     raise FileNotFoundError(name)
 
 
-def _write(df: DataFrame, path: str, header: bool = False) -> None:
+def _write(df: DataFrame, path: str, header: bool = False, append: bool = False) -> None:
     gz = {"compression": "gzip"} if path.endswith(".gz") else {}
-    df.write.mode("overwrite").options(sep="\t", header=str(header).lower(), quote="", emptyValue="", **gz).csv(path)
+    df.write.mode("append" if append else "overwrite").options(sep="\t", header=str(header).lower(), quote="", emptyValue="", **gz).csv(path)
 
 
-def write_classification(rows: DataFrame, path: str) -> None:
-    """Nothing is written where the path is 'off'."""
+def write_classification(rows: DataFrame, path: str, append: bool = False) -> None:
+    """Nothing is written where the path is 'off'; with ``append`` files are added to those there."""
     if path != "off":
-        _write(rows, path)
+        _write(rows, path, append=append)
 
 
 def write_taxdb(taxonomy: DataFrame, path: str) -> None:

@@ -177,3 +177,183 @@ def test_every_query_is_listed():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and "taxon_counts" in entry.queries()
+
+
+def test_records_with_one_id_are_classified_one_by_one(spark, tree):
+    rng = random.Random(7)
+    genome = "".join(rng.choice("ACGT") for _ in range(300))
+    g = spark.createDataFrame([("g", 100, 0, 0, genome)], "seq_id string, taxid long, tier long, ord long, seq string")
+    table = D.build_lca(D.genome_kmers(g, 11), tree)
+    reads = spark.createDataFrame([("r", genome[:60]), ("r", genome[100:160]), ("r", "A" * 30), ("r", "ACG")], "read_id string, seq string")
+    rows = C.classify(reads, [table], tree, 11, print_sequence=True).collect()
+    assert sorted((r.taxid, r.length, r.hitlist, r.seq) for r in rows) == sorted([(100, 60, "100:50", genome[:60]), (100, 60, "100:50", genome[100:160]), (0, 30, "0:20", "A" * 30), (0, 3, "0:0", "ACG")])
+    quick = C.classify(reads, [table], tree, 11, quick=True, min_hits=2).collect()
+    assert sorted((r.taxid, r.hitlist) for r in quick) == [(0, "Q:0"), (0, "Q:0"), (100, "Q:2"), (100, "Q:2")]
+
+
+def test_cycles_end(spark):
+    broken = spark.createDataFrame([(1, 0, "root", "no rank"), (5, 6, "a", "genus"), (6, 5, "b", "genus"), (7, 7, "self", "genus")], "taxid long, parent long, name string, rank string")
+    with pytest.raises(ValueError, match="own ancestors"):
+        T.with_paths(broken)
+    assert T.with_paths(broken.where("taxid in (1, 7)")).count() == 2
+
+
+def brute_dust(s, window=64, level=20):
+    """Perfect intervals by their definition."""
+    t = [s[i : i + 3] for i in range(len(s) - 2)]
+    score = {}
+    for i in range(len(t)):
+        for j in range(i + 1, min(len(t), i + window - 2)):
+            part = t[i : j + 1]
+            score[i, j] = sum(part.count(x) * (part.count(x) - 1) / 2 for x in set(part)) / (j - i)
+    masked = set()
+    for (i, j), x in score.items():
+        if 10 * x > level and all(x >= score[a, b] for a in range(i, j) for b in range(a + 1, j + 1)):
+            masked.update(range(i, j + 3))
+    return "".join(c.lower() if k in masked else c for k, c in enumerate(s))
+
+
+def test_dust_by_definition():
+    from strandlake.functions.dust import _mask
+
+    rng = random.Random(8)
+    cases = ["", "A", "ACG", "ACGTTGCATC" + "A" * 16, "A" * 30, "ACACACACACACACAC" + "GATTACAGT", "".join(rng.choice("ACGT") for _ in range(40)) + "AT" * 9 + "".join(rng.choice("ACGT") for _ in range(10))]
+    cases += ["".join(rng.choice("AAAC") for _ in range(35)) for _ in range(4)]
+    for s in cases:
+        assert _mask(s) == brute_dust(s)
+    assert _mask("ACGTTGCATC" + "A" * 16) == "ACGTTGCATC" + "a" * 16
+
+
+def test_mixers():
+    m = (1 << 64) - 1
+
+    def ran(u):
+        v = (u * 3935559000370003845 + 2691343689449507681) & m
+        v ^= v >> 21
+        v ^= v << 37 & m
+        v ^= v >> 4
+        v = v * 4768777513237032717 & m
+        v ^= v << 20 & m
+        v ^= v >> 41
+        return v ^ (v << 5 & m)
+
+    def wang(k):
+        k = ((~k & m) + (k << 21)) & m
+        k ^= k >> 24
+        k = (k + (k << 3) + (k << 8)) & m
+        k ^= k >> 14
+        k = (k + (k << 2) + (k << 4)) & m
+        k ^= k >> 28
+        return (k + (k << 31)) & m
+
+    keys = [0, 1, 12345678901234567, 2**62 + 7]
+    assert sketch.ranhash(np.array(keys)).tolist() == [ran(k) for k in keys] and sketch.wang(np.array(keys)).tolist() == [wang(k) for k in keys]
+
+
+def test_all_mixers_estimate(spark):
+    df = spark.range(20_000).select(F.lit(1).alias("taxon"), F.col("id").alias("kmer"))
+    for mixer in sketch.MIXERS:
+        assert abs(sketch.estimate(sketch.registers(df, 12, mixer), 12).first().estimate - 20_000) < 1200
+
+
+def test_uid_map(spark, tmp_path):
+    from strandlake.sources import kmerdb
+
+    pairs = np.array([(5, 0), (7, 1), (9, 2), (3, 0)], "<u4")
+    (tmp_path / "uid.map").write_bytes(pairs.tobytes())
+    uids = kmerdb.read_uid_map(spark, str(tmp_path / "uid.map"))
+    assert sorted(map(tuple, uids.collect())) == [(1, 5, 0), (2, 7, 1), (3, 9, 2), (4, 3, 0)]
+    assert {r.uid: r.taxids for r in kmerdb.uid_taxa(uids).collect()} == {1: [5], 2: [7, 5], 3: [9, 7, 5], 4: [3]}
+    assert [tuple(r) for r in kmerdb.uid_taxa(uids, [3]).collect()] == [(3, [9, 7, 5])]
+
+
+def test_database_upkeep(spark, tmp_path):
+    path = str(tmp_path / "db")
+    table = spark.createDataFrame([("AAC", 5), ("ACC", 6), ("GGA", 7)], "kmer string, taxon long")
+    table.write.parquet(path)
+    D.rewrite(spark.read.parquet(path).where("taxon <> 6"), path)
+    assert sorted(r.kmer for r in spark.read.parquet(path).collect()) == ["AAC", "GGA"] and [f.name for f in tmp_path.iterdir()] == ["db"]
+    asked = spark.createDataFrame([("AAC",), ("TTT",)], "kmer string")
+    assert D.require_covered(table, asked, allow=True) == 1
+    with pytest.raises(ValueError, match="1 k-mers"):
+        D.require_covered(table, asked)
+    many = spark.range(20_000).select(F.col("id").cast("string").alias("kmer"))
+    part = D.sample(many, 0.3, 5)
+    assert abs(part.count() - 6000) < 300 and sorted(part.collect()) == sorted(D.sample(many.repartition(7), 0.3, 5).collect())
+
+
+def test_shrink_and_index_on_skewed_prefixes(spark):
+    rng = random.Random(9)
+    kmers = sorted({"".join(rng.choice("AAAAC" if i % 3 else "ACGT") for _ in range(9)) for i in range(700)})
+    table = spark.createDataFrame([(k, i) for i, k in enumerate(kmers)], "kmer string, taxon long")
+    for blocks, offset in ((50, 1), (50, 2), (7, 3), (len(kmers), 1), (2 * len(kmers), 1)):
+        n, start, want = len(kmers), 0, []
+        for b in range(blocks):
+            size = n // blocks + (b < n % blocks)
+            want += [kmers[start + size - offset]] if size >= offset else []
+            start += size
+        assert sorted(r.kmer for r in D.shrink(table, blocks, offset).collect()) == want
+    index = sorted(map(tuple, D.bin_index(table, 9, 4).collect()))
+    assert [o for *_, o in index] == list(np.cumsum([0] + [n for _, n, _ in index[:-1]]))
+
+
+def test_inserting_and_looking_up(spark):
+    taxonomy = spark.createDataFrame(TREE, "taxid long, parent long, name string, rank string")
+    assert T.insert(taxonomy, 55, 10, "species", "new").count() == len(TREE) + 1
+    assert T.insert(taxonomy, 100, 10, "species", "taken").count() == T.insert(taxonomy, 56, 999, "species", "orphan").count() == len(TREE)
+    assert [r.taxid for r in T.by_name(taxonomy, "s2").collect()] == [101]
+
+
+def test_human_sequences_get_no_nodes(spark):
+    taxonomy = spark.createDataFrame([*TREE, (9606, 2, "human", "species")], "taxid long, parent long, name string, rank string")
+    lines = spark.createDataFrame([("a", 100, "asm", 0), ("h", 9606, "asm h", 1), ("a", 101, "late", 2), ("b", 101, "asm", 3), ("c", 110, None, 4)], "seq_id string, taxid long, name string, ord long")
+    headers = spark.createDataFrame([("a", "a full header")], "seq_id string, header_line string")
+    nodes, ids = T.add_assembly_taxids(taxonomy, lines, headers=headers)
+    base = 1_000_000_000
+    assert sorted(map(tuple, ids.collect())) == [("a", base + 2), ("b", base + 4), ("c", base + 5), ("h", base + 3)]
+    got = sorted(tuple(r) for r in nodes.where(f"taxid > {base}").collect())
+    assert got == [(base + 1, 100, "asm", "assembly"), (base + 2, base + 1, "a full header", "sequence"), (base + 3, 9606, "asm h", "assembly"), (base + 4, base + 1, "b", "sequence"), (base + 5, 110, "c", "sequence")]
+
+
+def test_text_forms(spark):
+    from strandlake.operators import report as R
+
+    x = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert [x(dna.fixed_format(F.lit(v), 3)) for v in (0.0625, 0.1875, 0.5, 2 / 3, 0.0005)] == ["0.062", "0.188", "0.500", "0.667", "0.001"]
+    assert x(dna.fixed_format(F.lit(3.125), 2, 6)) == "  3.12"
+    table = spark.createDataFrame([("d__A", 3, 0)], "lineage string, s1 long, s2 long")
+    assert [r.line for r in R.sample_lines(table, ["s1", "s2"], header=True).orderBy("ord").collect()] == ["#Sample\ts1\ts2", "d__A\t3\t0"]
+    with pytest.raises(ValueError, match="no such"):
+        R.select_columns(table, ["nonsense"])
+    stats = C.with_rates(spark.createDataFrame([(6000, 3_000_000)], "sequences long, bases long"), 30).first()
+    assert (stats.kseq_per_min, stats.mbp_per_min) == (12.0, 6.0)
+
+
+def test_pairs_of_fasta_files_and_compressed_reads(spark, tmp_path):
+    import bz2
+    import gzip
+
+    from strandlake.sources import sequences, tables
+
+    (tmp_path / "a.fa").write_text(">x/1 d\nAC\nGT\n>y/1\nTT\n>z/1\nGG\n")
+    (tmp_path / "b.fa").write_text(">x/2\nCC\n>y/2\nAA\n")
+    read = lambda n: sequences.read_fasta(spark, str(tmp_path / n), number=True).withColumnRenamed("id", "read_id")
+    got = [(r.rec_no, r.read_id, r.seq) for r in C.merge_pairs(read("a.fa"), read("b.fa"), check_names=True).orderBy("rec_no").collect()]
+    assert got == [(0, "x", "ACGTNCC"), (1, "y", "TTNAA"), (2, "z", "GG")]
+    (tmp_path / "c.fq.gz").write_bytes(gzip.compress(b"@r\nACG\n+\nIII\n"))
+    (tmp_path / "c.fa.bz2").write_bytes(bz2.compress(b">r\nACG\n"))
+    assert sequences.read_fastq(spark, str(tmp_path / "c.fq.gz")).first().seq == sequences.read_fasta(spark, str(tmp_path / "c.fa.bz2")).first().seq == "ACG"
+    rows = spark.createDataFrame([("C", "r", 5, 3, "5:1", "ACG")], "status string, read_id string, taxid long, length long, hitlist string, seq string")
+    for _ in range(2):
+        tables.write_classification(rows, str(tmp_path / "out.gz"), append=True)
+    assert [r.seq for r in tables.read_classification(spark, str(tmp_path / "out.gz"), sequence=True).collect()] == ["ACG", "ACG"]
+    order = C.in_read_order(rows.select("read_id", "taxid"), spark.createDataFrame([("r", 3)], "read_id string, rec_no long"))
+    assert order.columns == ["read_id", "taxid"] and order.count() == 1
+
+
+MORE = ["lca_pairs", "db_shrink", "bin_index_offsets", "pseudo_taxids", "report_full_columns", "report_reduced_columns", "report_other_columns", "report_rank_lines", "report_from_counts", "confidence_lines", "classify_repeated_ids", "classify_calls_k31", "minimizer_bins_k31", "nt_subset", "lineage_above_species", "assembly_taxids", "assembly_map", "skipped_sequences", "grade_reads", "classify_chunked"]
+
+
+@pytest.mark.parametrize("name", MORE)
+def test_same_rows_as_sql_in_further_queries(spark, tables, name):
+    test_same_rows_as_sql(spark, tables, name)
