@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest; DataFrame and SQL operations only.
 
 A candidate is a run of ``MIN_LENGTH`` or more letters, digits and ``_ + / -`` with up to two ``=``. Splitting a text at
-its candidates gives the stretches between them, whose ends are the neighbouring words. The forest looks at
+its candidates gives the stretches between them, whose ends are the neighbouring words, with the candidate before. The
+forest looks at
 
 * length, and shares of digits, upper case, vowels and distinct characters, whether all is hexadecimal;
 * character transitions: changes of class, and how many adjacent letters are frequent pairs of written language;
@@ -52,8 +53,8 @@ def features(c: Column, left: Column, right: Column, path: Column) -> list[Colum
     ]
 
 
-def labelled_findings(spark: SparkSession, each: int = 300) -> DataFrame:
-    """(candidate, before, after, path, label): ``each`` findings of every kind, made by hashing a counter.
+def labelled_findings(spark: SparkSession, each: int = 300, first: int = 0) -> DataFrame:
+    """(candidate, before, after, path, label): ``each`` findings of every kind, made by hashing a counter from ``first`` on.
 
     Secrets are random strings of usual alphabets and lengths, mostly beside credential words; the rest are digests,
     identifiers, paths, constants, placeholders, long words and numbers, mostly beside the words that go with them.
@@ -84,7 +85,7 @@ def labelled_findings(spark: SparkSession, each: int = 300) -> DataFrame:
         (F.translate(F.left(h("n"), size(16, 24)), "abcdef", "012345"), prose, path, 0), (F.left(h("t"), F.lit(32)), credential, test_path, 0),
     ]
     rows = [F.struct(c.alias("candidate"), b.alias("before"), pick("e", '"', "'", " ", "\n", ",", "").alias("after"), p.alias("path"), F.lit(y).cast("double").alias("label")) for c, b, p, y in kinds]
-    return spark.range(each).withColumnRenamed("id", "n").select(F.explode(F.array(*rows)).alias("x")).select("x.*").where(F.length("candidate") >= MIN_LENGTH)
+    return spark.range(first, first + each).withColumnRenamed("id", "n").select(F.explode(F.array(*rows)).alias("x")).select("x.*").where(F.length("candidate") >= MIN_LENGTH)
 
 
 def _expression(tree: str) -> str:
@@ -124,7 +125,9 @@ def _scored(docs: DataFrame, model: str, text_col: str, path_col: str | None, ke
     text = F.col(text_col).cast("string")
     path = F.col(path_col).cast("string") if path_col and path_col in docs.columns else F.lit(None).cast("string")
     has = docs.withColumn("__found", F.when(text.rlike(CANDIDATE), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))).withColumn("__gaps", F.when(F.col("__found").isNotNull(), F.split(text, CANDIDATE, -1)))
-    vector = has.withColumn("__x", F.transform("__found", lambda c, i: F.array(*features(c, F.col("__gaps")[i], F.col("__gaps")[i + 1], path))))
+    # A long name before the value (CLIENT_SECRET_KEY=...) is a candidate itself, and yet the value's neighbour.
+    left = lambda i: F.concat(F.coalesce(F.get("__found", i - 1), F.lit("")), F.col("__gaps")[i])
+    vector = has.withColumn("__x", F.transform("__found", lambda c, i: F.array(*features(c, left(i), F.col("__gaps")[i + 1], path))))
     score = vector.withColumn("__score", F.expr(f"transform(__x, x -> {model})"))
     return score.withColumn(keep, F.arrays_zip(F.col("__found").alias("candidate"), F.col("__score").alias("score"))).drop("__x", "__score", "__found")
 
