@@ -2,8 +2,8 @@
 
 An arrival is written once as a *run*: a folder of Parquet files that never change. A run's tier is the power of
 ``FANOUT`` that its bytes reach over ``BASE_BYTES``. Whenever a tier has ``FANOUT`` runs, they are merged into one run of
-files of about ``TARGET_BYTES``; runs of ``LARGEST`` targets and more are final. Readers follow the newest manifest, a
-JSON file that lists all live runs. A commit writes the next version beside it and renames it into place, which fails
+files of about ``TARGET_BYTES``, however large they are, so a row is written once for each tier that it climbs. Readers
+follow the newest manifest, a JSON file that lists all live runs. A commit writes the next version beside it and renames it into place, which fails
 if that version exists; so writers can't overwrite one another, and a reader sees all of a compaction or none of it.
 Files that no manifest needs go after the commit. Tasks that die are run again by Spark under its own output commit.
 """
@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FANOUT, BASE_BYTES, TARGET_BYTES, LARGEST = 4, 1 << 20, 64 << 20, 16
+FANOUT, BASE_BYTES, TARGET_BYTES = 4, 1 << 20, 64 << 20
+#: From how many targets on a run is left alone: no run is.
+LARGEST = math.inf
 #: How often a commit is tried on top of others'.
 RETRIES = 20
 
@@ -116,8 +118,7 @@ class ShardStore:
         while True:
             tiers: dict[int, list[dict]] = {}
             for r in now["runs"]:
-                if r["bytes"] < LARGEST * self.target:
-                    tiers.setdefault(r["tier"], []).append(r)
+                tiers.setdefault(r["tier"], []).append(r)
             full = next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= self.fanout), None)
             if full is None:
                 return now

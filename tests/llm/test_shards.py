@@ -70,3 +70,16 @@ def test_clashing_names(spark, tmp_path):
     store = shards.ShardStore(spark, str(tmp_path / "s"))
     store.append(spark.createDataFrame([(1, "mine")], "doc_id long, shard_run string"))
     assert store.read().columns == ["doc_id", "shard_run", "_shard_run", "_shard_file", "_shard_tier", "_shard_version"] and store.read().first().shard_run == "mine"
+
+
+def test_large_runs_are_merged_as_small_ones_are(spark, tmp_path):
+    df = spark.range(600).selectExpr("id as doc_id", "repeat(md5(string(id)), 4) as text")
+    shapes = []
+    for target in (1 << 20, 100):  # to the second, every run is larger than 16 targets
+        store = shards.ShardStore(spark, str(tmp_path / str(target)), fanout=3, base_bytes=1 << 20, target_bytes=target)
+        for k in range(6):
+            store.append(df.where(f"doc_id >= {100 * k} and doc_id < {100 * k + 100}").coalesce(1))
+            store.compact()
+        assert sorted(store.read().select("doc_id", "text").collect()) == sorted(df.collect())
+        shapes.append((store.version(), [r["tier"] for r in store.manifest()["runs"]]))
+    assert shapes[0] == shapes[1] and shapes[0][1] == [1, 1]
