@@ -75,3 +75,27 @@ def test_round_trip_keeps_other_columns(awkward):
     out = round_trip(awkward, BYTE, out_col="text")
     assert out.columns == awkward.columns
     assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted((i or 0, t or "") for i, t, *_ in AWKWARD)
+
+
+def test_a_worker_gives_its_memory_back(spark, monkeypatch):
+    import ctypes
+    import gc
+
+    import psutil
+    import pyarrow as pa
+
+    docs, taken = spark.createDataFrame([(1, "a")], "doc_id long, text string"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema, g=type(docs).mapInArrow: taken.append(f) or g(self, f, schema))
+    encode_decode(docs, WORD)
+    rng, resident = random.Random(7), lambda: psutil.Process().memory_info().rss >> 20
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(20_000)]
+    texts = [" ".join(rng.choices(words, k=600)) for _ in range(6000)]
+    run, batch = taken[-1], pa.RecordBatch.from_arrays([pa.array(range(6000)), pa.array(texts)], names=["id", "text"])
+    list(run(iter([batch.slice(0, 10)])))  # the vocabulary is loaded
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+    before, peak = resident(), 0
+    for _ in run(iter([batch])):
+        peak = max(peak, resident())
+    assert peak - before < 200 and resident() - before < 25
