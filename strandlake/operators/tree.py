@@ -170,18 +170,19 @@ def add_pseudo_taxids(taxonomy: DataFrame, sequences: DataFrame, rank: str = "se
     return taxonomy.select("taxid", "parent", "name", "rank").unionByName(new)
 
 
-def add_assembly_taxids(taxonomy: DataFrame, seqmap: DataFrame, sequences: bool = True, headers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def add_assembly_taxids(taxonomy: DataFrame, seqmap: DataFrame, sequences: bool = True, headers: DataFrame | None = None, without: tuple[int, ...] = (HUMAN, MOUSE)) -> tuple[DataFrame, DataFrame]:
     """(taxonomy, map): nodes for assemblies and, below them, for sequences.
 
     ``seqmap`` is (seq_id, taxid, name, ord); of repeated ids the first line counts. Lines with one name share an assembly
-    node below the taxon of the first of them; every sequence but those of human and mouse gets a node below its assembly,
+    node below the taxon of the first of them; every sequence but those of the taxa ``without`` gets a node below its assembly,
     or below its taxon where the name is null or empty, named by its header in ``headers`` (seq_id, header_line) or else by
     its id. Numbers follow the lines, an assembly's before its sequence's. The map is (seq_id, taxid) with the new taxids.
+    The default ``without`` means NCBI's numbers; taxids of one's own making may be the same by chance.
     """
     first = seqmap.groupBy("seq_id").agg(F.min_by(F.struct("taxid", "name", "ord"), "ord").alias("x")).select("seq_id", "x.*")
     named = first.where("name <> ''")
     assemblies = named.groupBy("name").agg(F.min(F.struct("ord", "taxid")).alias("x")).select("name", F.col("x.taxid").alias("parent"), (F.col("x.ord") * 2).alias("ord"), F.lit("assembly").alias("rank"))
-    own = first.where(~F.col("taxid").isin(HUMAN, MOUSE)).select("seq_id", (F.col("ord") * 2 + 1).alias("ord")) if sequences else first.limit(0).select("seq_id", "ord")
+    own = first.where(~F.col("taxid").isin(*without)).select("seq_id", (F.col("ord") * 2 + 1).alias("ord")) if sequences else first.limit(0).select("seq_id", "ord")
     every = assemblies.select(F.lit(None).cast("string").alias("seq_id"), F.col("name").alias("assembly"), "ord").unionByName(own.select("seq_id", F.lit(None).cast("string").alias("assembly"), "ord"))
     ids = _numbered(every, "at").crossJoin(F.broadcast(last_pseudo_taxid(taxonomy))).withColumn("id", F.col("base") + F.col("at") + 1)  # base is one row
     of_name = ids.where("assembly is not null").select(F.col("assembly").alias("name"), F.col("id").alias("assembly_id"))
