@@ -109,7 +109,7 @@ def sorted_by_bin(table: DataFrame, k: int, m: int) -> DataFrame:
 
 def bin_index(table: DataFrame, k: int, m: int) -> DataFrame:
     """(bin, n, offset): rows of each bin and rows before it."""
-    counts = with_bins(table, k, m).groupBy("bin").agg(F.count("*").alias("n"))
+    counts = with_bins(table, k, m).groupBy("bin").agg(F.count("*").alias("n")).persist()  # a row a bin; the running total reads it twice
     return running(counts, intervals("bin", 0, 4**m - 1), ["bin"], F.col("n"), "offset").select("bin", "n", "offset")
 
 

@@ -62,8 +62,13 @@ class Fixtures:
             return PREPARED[self.dir, name]
         used = {n: self.table(n) if n in TABLES else getattr(self, n) for n in (*TABLES, *SQL) if "{" + n + "}" in SQL[name]}
         if "orders" in used:  # a small file is one split, but the reads made of it are work for all cores
-            used["orders"] = used["orders"].repartition(self.spark.sparkContext.defaultParallelism)
-        return self.spark.sql(SQL[name], **used)
+            used["orders"] = used["orders"].repartition(self._parts())
+        made = self.spark.sql(SQL[name], **used)
+        # As are the genomes; dealt by the column that reads are joined on, so that these come in as many parts, however they join.
+        return made.repartition(self._parts(), "ord") if name == "genomes" else made
+
+    def _parts(self) -> int:
+        return max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
 
     def _keep(self, name: str, make) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.dir, name)
