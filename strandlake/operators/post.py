@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.dna import fixed_format, strip_mate
-from strandlake.operators.classify import decode_hitlist
-from strandlake.operators.tree import RANKS, at_rank, closure, descendants, lca_pairs, lineages
+from strandlake.operators.classify import let
+from strandlake.operators.tree import RANKS, at_rank, closure, descendants, lca_pairs, lineages, paths_of
 
 
 def at_ranks(tree: DataFrame, ranks: list[str]) -> DataFrame:
@@ -17,26 +17,36 @@ def at_ranks(tree: DataFrame, ranks: list[str]) -> DataFrame:
     return tree.select("taxid").join(best, "taxid", "left").select("taxid", F.array(*[F.coalesce(f"a{i}", F.lit(0)).cast("bigint") for i in range(len(ranks))]).alias("at"))
 
 
-def confidence_filter(classified: DataFrame, tree: DataFrame, threshold: float) -> DataFrame:
-    """(read_id, taxid, p): each call climbs until the share of unambiguous k-mers at or below it reaches the threshold.
+def confidence_filter(classified: DataFrame, tree: DataFrame, threshold: float, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(read_id, taxid, p) and the rows' columns ``carry``: each call climbs until the share of unambiguous k-mers at or below it
+    reaches the threshold.
 
-    The climb ends at the root, with the share of the node below it; root and unclassified calls stay, with p = 0.
+    The climb ends at the root, with the share of the node below it; root and unclassified calls stay, with p = 0. Each row is
+    filtered by its own hit list, in one pass; rows that lie by a column ``record`` (see ``classify``) aren't moved for it.
     """
-    codes = decode_hitlist(classified).where("code <> 'A'").groupBy("read_id", F.col("code").cast("bigint").alias("code")).agg(F.sum("n").alias("n"))
-    paths = codes.join(tree.select(F.col("taxid").alias("code"), F.col("path").alias("p")), "code", "left")
-    per_read = paths.groupBy("read_id").agg(F.sum("n").alias("total"), F.collect_list(F.when(F.col("p").isNotNull(), F.struct("n", "p"))).alias("h"))
-    called = classified.select("read_id", "taxid").join(tree.select("taxid", "path"), "taxid", "left").join(per_read, "read_id", "left")
+    key = "record" if "record" in classified.columns else "__r"
+    rows = classified if key == "record" else classified.withColumn(key, F.monotonically_increasing_id())
+    kept = [c for c in dict.fromkeys(("read_id", "taxid", *carry)) if c != key]
+    parts = F.transform(F.filter(F.split("hitlist", " "), lambda x: ~x.startswith("A:")), lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(1)).cast("bigint").alias("code"), F.split_part(x, F.lit(":"), F.lit(2)).cast("bigint").alias("n")))
+    codes = rows.select(key, *kept, F.explode_outer(parts).alias("x")).select(key, *kept, "x.code", "x.n")
+    paths = codes.join(F.broadcast(tree.select(F.col("taxid").alias("code"), F.col("path").alias("p"))), "code", "left")  # as paths_of
+    per_read = paths.groupBy(key).agg(*[F.first(c).alias(c) for c in kept], F.sum("n").alias("total"), F.collect_list(F.when(F.col("p").isNotNull(), F.struct("n", "p"))).alias("h"))
+    called = per_read.join(paths_of(tree, "taxid"), "taxid", "left")
     below = lambda t: F.aggregate("h", F.lit(0).cast("bigint"), lambda s, u: s + F.when(F.array_contains(u["p"], t), u["n"]).otherwise(0))
     climb = F.transform(F.reverse(F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0)))), lambda t: F.struct(t.alias("t"), (below(t) / F.col("total")).alias("p")))
-    steps = called.withColumn("steps", F.when(F.col("taxid") > 1, climb))
-    passed = F.try_element_at(F.filter("steps", lambda x: x["p"] >= threshold - 1e-5), F.lit(1))
-    return steps.select("read_id", F.when(F.col("steps").isNull(), F.col("taxid")).otherwise(F.coalesce(passed["t"], F.lit(1))).cast("bigint").alias("taxid"), F.coalesce(passed["p"], F.try_element_at("steps", F.lit(-1))["p"], F.lit(0.0)).alias("p"))
 
+    def found(steps):
+        passed = F.try_element_at(F.filter(steps, lambda x: x["p"] >= threshold - 1e-5), F.lit(1))
+        return F.struct(F.coalesce(passed["t"], F.lit(1)).cast("bigint").alias("taxid"), F.coalesce(passed["p"], F.try_element_at(steps, F.lit(-1))["p"], F.lit(0.0)).alias("p"))
 
-def filter_lines(classified: DataFrame, filtered: DataFrame) -> DataFrame:
-    """(read_id, line): the filter's output as text, the share with three decimals before the hit list."""
-    rows = classified.select("read_id", "length", "hitlist").join(filtered.select("read_id", "taxid", "p"), "read_id")
-    return rows.select("read_id", F.concat_ws("\t", F.when(F.col("taxid") > 0, "C").otherwise("U"), F.col("read_id").cast("string"), F.col("taxid").cast("string"), F.col("length").cast("string"), F.concat(F.lit("P="), fixed_format(F.col("p"), 3)), "hitlist").alias("line"))
+    end = called.withColumn("end", F.when((F.col("taxid") > 1) & F.col("path").isNotNull(), let(climb, found)))
+    return end.select("read_id", F.coalesce("end.taxid", "taxid").cast("bigint").alias("taxid"), F.coalesce("end.p", F.lit(0.0)).alias("p"), *carry)
+
+
+def filter_lines(filtered: DataFrame) -> DataFrame:
+    """(read_id, line) of filtered rows with ``length`` and ``hitlist``: the filter's output as text, the share with three decimals
+    before the hit list."""
+    return filtered.select("read_id", F.concat_ws("\t", F.when(F.col("taxid") > 0, "C").otherwise("U"), F.col("read_id").cast("string"), F.col("taxid").cast("string"), F.col("length").cast("string"), F.concat(F.lit("P="), fixed_format(F.col("p"), 3)), "hitlist").alias("line"))
 
 
 def translate(classified: DataFrame, tree: DataFrame, style: str = "names") -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.dna import fixed_format, lineage_name, rank_code
-from strandlake.operators.tree import closure
+from strandlake.functions.dna import code_columns, fixed_format, letters, lineage_name, rank_code
+from strandlake.operators.tree import closure, paths_of
 
 #: What a text report's columns show; several names mean the same.
 COLUMNS = {
@@ -25,19 +25,28 @@ FULL = ["%", "reads", "taxReads", "kmers", "taxKmers", "kmersDB", "taxKmersDB",
 REDUCED = ["%", "reads", "taxReads", "taxID", "rank", "taxName"]
 
 
+def _codes(hits: DataFrame) -> list[str]:
+    """The columns that tell k-mers apart. Hits of a lookup have integers, and lie by them, so counting by these moves nothing."""
+    return [c for c in hits.columns if c.startswith("code")] or ["canon"]
+
+
 def taxon_counts(calls: DataFrame, hits: DataFrame) -> DataFrame:
     """(taxid, n_reads, n_kmers, n_unique): reads by call, k-mers by their own taxon, 0 for those without."""
     reads = calls.groupBy("taxid").agg(F.count("*").alias("n_reads"))
-    # Each k-mer has one taxon, so distinct pairs give the unique counts and their sum the totals, in one shuffle more.
-    pairs = hits.where("not ambig").groupBy(F.col("taxon").alias("taxid"), "canon").agg(F.count("*").alias("n"))
+    # Each k-mer has one taxon, so distinct pairs give the unique counts and their sum the totals.
+    pairs = hits.where("not ambig").groupBy(F.col("taxon").alias("taxid"), *_codes(hits)).agg(F.count("*").alias("n"))
     kmers = pairs.groupBy("taxid").agg(F.sum("n").alias("n_kmers"), F.count("*").alias("n_unique"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return reads.join(kmers, "taxid", "full").select("taxid", zero("n_reads"), zero("n_kmers"), zero("n_unique"))
 
 
-def taxon_sketches(hits: DataFrame, precision: int = 12) -> DataFrame:
-    """(taxid, sketch) of distinct k-mers, mergeable."""
-    return hits.where("not ambig").groupBy(F.col("taxon").alias("taxid")).agg(F.hll_sketch_agg("canon", precision).alias("sketch"))
+def taxon_sketches(hits: DataFrame, precision: int = 12, k: int | None = None) -> DataFrame:
+    """(taxid, sketch) of distinct k-mers, mergeable. With ``k``, hits of a lookup are first made distinct by their integers, so
+    that each k-mer is written as text, and sketched, once; the sketches are the same."""
+    seen = hits.where("not ambig")
+    if k is not None:
+        seen = seen.select("taxon", *code_columns(k)).distinct().select("taxon", letters(k).alias("canon"))
+    return seen.groupBy(F.col("taxon").alias("taxid")).agg(F.hll_sketch_agg("canon", precision).alias("sketch"))
 
 
 def clade_sketches(sketches: DataFrame, tree: DataFrame) -> DataFrame:
@@ -55,8 +64,9 @@ def clade_counts(counts: DataFrame, tree: DataFrame, *sums: str) -> DataFrame:
 
 def clade_unique_exact(hits: DataFrame, tree: DataFrame) -> DataFrame:
     """(taxid, n_unique) by counting distinct k-mers of the union, for tables where a k-mer may have several taxa."""
-    pairs = hits.where("not ambig").select(F.col("taxon").alias("taxid"), "canon").distinct()
-    up = pairs.join(tree.select("taxid", "path"), "taxid", "left").select(F.explode(F.coalesce("path", F.array("taxid"))).alias("taxid"), "canon").distinct()
+    codes = _codes(hits)
+    pairs = hits.where("not ambig").select(F.col("taxon").alias("taxid"), *codes).distinct()
+    up = pairs.join(paths_of(tree, "taxid"), "taxid", "left").select(F.explode(F.coalesce("path", F.array("taxid"))).alias("taxid"), *codes).distinct()
     return up.groupBy("taxid").agg(F.count("*").alias("n_unique"))
 
 
