@@ -79,3 +79,36 @@ def test_reads_are_exploded_once(spark, tables, name, most):
 
     plan = catalogue.QUERIES[name](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [o_orderkey") == most
+
+
+def test_set_votes_by_counting(spark):
+    """Sets of all kinds, clades or not, nested or not, against votes counted taxon by taxon."""
+    import random
+    from collections import Counter
+
+    from strandlake.operators import classify as C
+    from strandlake.operators import tree as T
+
+    rng = random.Random(11)
+    parent = {1: 0} | {i: 1 for i in range(10, 13)} | {i: 10 + i % 3 for i in range(100, 112)}
+    tree = T.with_paths(spark.createDataFrame([(t, p, f"n{t}", "no rank") for t, p in parent.items()], "taxid long, parent long, name string, rank string"))
+    path = lambda t: [*path(parent[t]), t] if t else []
+    kmers = ["".join(rng.choice("ACGT") for _ in range(9)) for _ in range(60)]
+    kmers = sorted({min(k, k[::-1].translate(str.maketrans("ACGT", "TGCA"))) for k in kmers})
+    nest = sorted(rng.sample(range(100, 112), 8))
+    kinds = [list(range(100, 112)), [t for t in range(100, 112) if t % 3 == 1], nest, nest[::2], nest[:1], nest[::4], [101], [107], [999], [103, 999]]
+    sets = {k: sorted(rng.choice(kinds) if i % 4 else rng.sample(range(100, 112), rng.randint(1, 6))) for i, k in enumerate(kmers)}
+    reads = {i: [rng.choice(kmers) for _ in range(rng.randint(1, 5))] for i in range(400)}
+    # N between k-mers, so that a read has these and no others.
+    table = spark.createDataFrame(list(sets.items()), "kmer string, taxids array<long>")
+    got = {r.read_id: r.taxid for r in C.set_votes(spark.createDataFrame([(i, "N".join(ks)) for i, ks in reads.items()], "read_id long, seq string"), table, tree, 9).collect()}
+    for i, ks in reads.items():
+        n, w = Counter(), Counter()
+        for k in ks:
+            for t in sets[k]:
+                if t in parent:
+                    n[t] += 1
+                    w[t] += 1 / len(sets[k])
+        best = max(((n[t], round(w[t], 6)) for t in n), default=None)
+        tied = [path(t) for t in n if (n[t], round(w[t], 6)) == best]
+        assert got[i] == (max((a for a in tied[0] if all(a in p for p in tied)), key=lambda a: tied[0].index(a)) if tied else 0), (i, ks)
