@@ -109,6 +109,7 @@ def rank_report(calls: DataFrame, tree: DataFrame, show_zeros: bool = False) ->
 
 
 def _ranked(own: DataFrame, tree: DataFrame, show_zeros: bool) -> DataFrame:
+    own = own.persist()  # a row a taxon, read several times below
     if show_zeros:
         own = tree.select("taxid").join(own, "taxid", "full").select("taxid", F.coalesce("taxon_reads", F.lit(0)).alias("taxon_reads"))
     clades = clade_counts(own.withColumnRenamed("taxon_reads", "clade_reads"), tree, "clade_reads")

@@ -112,3 +112,13 @@ def test_set_votes_by_counting(spark):
         best = max(((n[t], round(w[t], 6)) for t in n), default=None)
         tied = [path(t) for t in n if (n[t], round(w[t], 6)) == best]
         assert got[i] == (max((a for a in tied[0] if all(a in p for p in tied)), key=lambda a: tied[0].index(a)) if tied else 0), (i, ks)
+
+
+@pytest.mark.parametrize("name", ["report_ranks", "report_rank_lines", "report_from_counts"])
+def test_calls_are_made_once_for_a_rank_report(spark, tables, name):
+    """Its several uses of the counts read them from one table in memory."""
+    from strandlake.plans import catalogue
+
+    df = catalogue.QUERIES[name](spark, tables)
+    plan = df._jdf.queryExecution().withCachedData().toString()
+    assert "Relation [o_orderkey" not in plan and "InMemoryRelation [taxid" in plan
